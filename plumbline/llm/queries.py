@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, media, pii, quality, simhash, toxicity, url_filter, warc
+from plumbline.llm import bpe, decontaminate, html_extract, media, pii, quality, simhash, toxicity, url_filter, warc
 from plumbline.llm.common import labelled_sample, table
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -53,12 +53,16 @@ def op8_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.concat_ws(",", F.col("feature").cast("array<string>")))
 
 
+def op9_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train(html_extract.labelled_pages()))
+
+
 def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", 3, 1, TOXIC_ROWS)))
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_bloom_cascade, op3_warc_dictionary, op4_subword_quality, op5_bpe_transducer, op6_prefix_decontamination, op7_vantage_simhash, op8_wav_fingerprint, op10_noisy_or_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_bloom_cascade, op3_warc_dictionary, op4_subword_quality, op5_bpe_transducer, op6_prefix_decontamination, op7_vantage_simhash, op8_wav_fingerprint, op9_crf_main_text, op10_noisy_or_toxicity)}
 
 #: Host and path are taken at the first ://; only A-Z are lower-cased.
 _OP2_RULES = ", ".join(f"('{r}', '{v}')" for r, v in RULES.items())
