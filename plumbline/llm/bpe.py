@@ -13,17 +13,19 @@ Defined results: a null or empty text has no tokens (sha256 of the empty string,
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, text_rows
+from plumbline.llm.common import in_batches, no_cycles, text_rows
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,10 +33,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+#: Keys of a state beside the bytes it moves on.
+READINGS, OWED = 256, 257
+
+
 class Transducer:
     """Encodes one pretoken at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000, most_pieces: int = 400_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.edges: dict[int, int] = {}  # node * 256 + byte: node
@@ -50,13 +56,14 @@ class Transducer:
                 at = to
             self.token_at[at] = rank
         self.spines: dict[tuple[int, int], tuple[int, ...] | None] = {}
-        self.pieces: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.pieces = Pieces(self)
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple] = [((-1, 0, ()),)]
-        self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        """A state is a dict of its moves; its readings and what it owes at the end of a piece stand beside them."""
+        self.start: dict = {READINGS: ((-1, 0, ()),)}
+        self.states = {self.start[READINGS]: self.start}
+        gc.collect()  # the states dropped refer to each other
 
     def _parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; None for a byte; itself twice if no merges give it."""
@@ -110,54 +117,71 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        """The state after one more byte, and the tokens that are settled by it."""
         live = []
-        for before, node, owed in self.states[state]:
-            if (to := self.edges.get(node << 8 | byte)) is None:
+        edge, edges, token_at = byte, self.edges, self.token_at
+        for before, node, owed in state[READINGS]:
+            to = edges.get(node << 8 | edge)
+            if to is None:
                 continue
             live.append((before, to, owed))
-            token = self.token_at.get(to)
+            token = token_at.get(to)
             if token is not None and self.may_follow(before, token):
                 live.append((token, 0, (*owed, token)))
         if not live:
             raise ValueError("the ranks do not cover every byte")
-        first, common = live[0][2], min(len(x[2]) for x in live)
-        n = 0
-        while n < common and all(x[2][n] == first[n] for x in live):
-            n += 1
-        after = tuple((before, node, owed[n:]) for before, node, owed in live)
-        if (k := self.number.get(after)) is None:
-            k = self.number[after] = len(self.states)
-            self.states.append(after)
-        self.moves[state << 8 | byte] = move = (k, first[:n])
+        first, n = live[0][2], 0
+        if first:
+            least = min(len(x[2]) for x in live)
+            while n < least and all(x[2][n] == first[n] for x in live):
+                n += 1
+            if n:
+                live = [(before, node, owed[n:]) for before, node, owed in live]
+        readings = tuple(live)
+        after = self.states.get(readings)
+        if after is None:
+            after = self.states[readings] = {READINGS: readings}
+            for _, node, owed in readings:
+                if not node:
+                    after[OWED] = owed
+        state[byte] = move = (after, first[:n])
         return move
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pretoken."""
-        if (whole := self.ranks.get(piece)) is not None:
+        whole = self.ranks.get(piece)
+        if whole is not None:
             return (whole,)
         if len(self.states) > self.most_states:
             self._forget()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state = self.start
         for b in piece:
-            move = moves.get(state << 8 | b)
+            move = state.get(b)
             if move is None:
                 move = self._move(state, b)
             state, emitted = move
             if emitted:
                 out += emitted
-        out += next(owed for _, node, owed in self.states[state] if node == 0)
+        out += state[OWED]
         return tuple(out)
 
-    def lookup(self, piece: str) -> tuple[str, tuple[int, ...]]:
-        """Ids of a pretoken, as text and as numbers; frequent ones are kept."""
-        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+
+class Pieces(dict):
+    """Ids of pretokens, as text and as numbers. Frequent ones are kept: the table is dropped when it is full."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst = fst
+
+    def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
+        ids = self.fst.encode_piece(piece.encode("utf-8", "surrogatepass"))
         found = (" ".join(map(str, ids)), ids)
         if len(piece) <= 64:
-            if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            if len(self) >= self.fst.most_pieces:
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -222,16 +246,10 @@ class Codec:
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the ids as text."""
-        ids: list[int] = []
-        texts: list[str] = []
-        pieces, lookup = self.fst.pieces, self.fst.lookup
-        for m in self.findall(text):
-            found = pieces.get(m)
-            if found is None:
-                found = lookup(m)
-            texts.append(found[0])
-            ids += found[1]
-        return ids, " ".join(texts)
+        if not (pieces := self.findall(text)):
+            return [], ""
+        texts, ids = zip(*map(self.fst.pieces.__getitem__, pieces), strict=True)
+        return list(chain.from_iterable(ids)), " ".join(texts)
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.stream.feed(ids) + self.stream.end()
@@ -253,7 +271,8 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         made = ((doc_id, (ids := c.encode(text or "")[0]), c.decode(ids)) for doc_id, text in text_rows(batches))
-        yield from in_batches(made, TOKENS, 256)
+        with no_cycles():
+            yield from in_batches(made, TOKENS, 256)
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -268,6 +287,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             yield doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_batches(rows(codec(path, pattern), text_rows(batches)), DIGESTS)
+        with no_cycles():
+            yield from in_batches(rows(codec(path, pattern), text_rows(batches)), DIGESTS)
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

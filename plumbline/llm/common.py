@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,3 +105,15 @@ def lookup_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, how: str = "
     hot_rows = rows.join(F.broadcast(hot), key, how="inner")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return hot_rows.unionByName(rest.join(cold.hint("merge"), key, how), allowMissingColumns=True)
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Python's cycle collector rests: it would walk large tables of kept words again and again, which have no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()

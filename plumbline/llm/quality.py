@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, remainder_of, text_rows
+from plumbline.llm.common import in_batches, no_cycles, remainder_of, text_rows
 
 BUCKETS = 1 << 17
 LEAST, MOST = 2, 4
@@ -147,7 +147,8 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: i
             yield doc_id, remainder_of(doc_id, modulus) == held_out, p, int(p >= threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from in_batches(rows(text_rows(batches)), SCORES)
+        with no_cycles():
+            yield from in_batches(rows(text_rows(batches)), SCORES)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCORES_DDL)
 
