@@ -16,6 +16,7 @@ import base64
 import gc
 import hashlib
 import math
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -236,17 +237,33 @@ class Utf8Stream:
         return left.decode("utf-8", "replace")
 
 
+def ascii_twin(pattern: str) -> str | None:
+    """The pattern for ASCII texts in the standard library's syntax; None if it has other properties than L and N."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        part = next((p for p in (r"\p{L}", r"\p{N}") if pattern.startswith(p, at)), pattern[at : at + 1 + (pattern[at] == "\\")])
+        at += len(part)
+        if part in (r"\p", r"\P"):
+            return None
+        inside = part == "[" or inside and part != "]"
+        own = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}.get(part)
+        out.append(part if own is None else own if inside else f"[{own}]")
+    return "".join(out)
+
+
 class Codec:
     """Encoding and decoding of whole texts by a rank file and a pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst = Transducer(ranks)
         self.findall = regex.compile(pattern).findall
+        twin = ascii_twin(pattern)
+        self.findall_ascii = re.compile(twin, re.ASCII).findall if twin else self.findall
         self.stream = Utf8Stream(self.fst.bytes_of)
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Ids, and the ids as text."""
-        if not (pieces := self.findall(text)):
+        if not (pieces := (self.findall_ascii if text.isascii() else self.findall)(text)):
             return [], ""
         texts, ids = zip(*map(self.fst.pieces.__getitem__, pieces), strict=True)
         return list(chain.from_iterable(ids)), " ".join(texts)
