@@ -38,15 +38,20 @@ def _hash(data: bytes) -> int:
 _DOCUMENT, _REPEAT = _hash(b"\x00document"), _hash(b"\x00repeat")
 
 
-def word_buckets(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams."""
+def parts(word: str) -> list[str]:
+    """The word, told apart from n-grams by a mark, and its character n-grams."""
     w = f"<{word if len(word) <= WORD else word[:WORD]}>"
-    out = [_hash(b"w" + word.encode("utf-8", "surrogatepass"))]
+    out = ["\x00" + word]
     for n in range(LEAST, MOST + 1):
-        out += [_hash(w[i : i + n].encode("utf-8", "surrogatepass")) for i in range(len(w) - n + 1)]
+        out += [w[i : i + n] for i in range(len(w) - n + 1)]
     return out
 
 
+def word_buckets(word: str) -> list[int]:
+    """Buckets of a word and its character n-grams."""
+    return [_hash(p.encode("utf-8", "surrogatepass")) for p in parts(word)]
+
+
 def features(text: str, known: dict[str, list[int]]) -> Counter:
     """How often each bucket occurs in a text."""
     words = text.split()
@@ -63,22 +68,41 @@ def features(text: str, known: dict[str, list[int]]) -> Counter:
     return out
 
 
+class Margins(dict):
+    """Margins of n-grams; the table is dropped when it is full."""
+
+    def __init__(self, margins: np.ndarray):
+        super().__init__()
+        self.margins = margins
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= 200_000:
+            self.clear()
+        m = self[gram] = float(self.margins[_hash(gram.encode("utf-8", "surrogatepass"))])
+        return m
+
+
 @dataclass
 class Model:
     margins: np.ndarray  # of each bucket, for label 1 over label 0
     known: dict[str, tuple[float, int]] = field(default_factory=dict, compare=False)
 
+    def __post_init__(self):
+        self.grams = Margins(self.margins)
+
     def __getstate__(self):
         return self.margins.tobytes()
 
     def __setstate__(self, state):
         self.margins, self.known = np.frombuffer(state, np.float32), {}
+        self.grams = Margins(self.margins)
 
     def word(self, word: str) -> tuple[float, int]:
         if len(self.known) >= 300_000:
             self.known.clear()
-        buckets = word_buckets(word)
-        found = (float(self.margins[buckets].sum(dtype=np.float64)), len(buckets))
+        whole, *grams = parts(word)
+        own = float(self.margins[_hash(whole.encode("utf-8", "surrogatepass"))])
+        found = (own + sum(map(self.grams.__getitem__, grams)), 1 + len(grams))
         if len(word) <= 64:
             self.known[word] = found
         return found
