@@ -18,7 +18,6 @@ import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, no_cycles, text_rows
+from plumbline.llm.common import in_batches, kept, no_cycles, text_rows
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +40,7 @@ READINGS, OWED = 256, 257
 class Transducer:
     """Encodes one pretoken at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000, most_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 250_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.edges: dict[int, int] = {}  # node * 256 + byte: node
@@ -272,10 +271,9 @@ class Codec:
         return self.stream.feed(ids) + self.stream.end()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One for each Python worker, which is used for all its tasks."""
-    return Codec(read_ranks(path), pattern)
+    return kept(("bpe", path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])

@@ -47,6 +47,25 @@ def remainder_of(value, modulus: int) -> int | None:
     return None if value is None else zlib.crc32(str(value).encode()) % modulus
 
 
+#: The one large object that a Python worker keeps between its tasks, by its key.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """What make() gives, kept for this worker's next tasks until an operator with another key runs in it."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Frees what an earlier operator kept in this worker; every operator that keeps nothing begins with it."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 def text_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of the batches as tuples, one at a time, so that one batch's Python objects are all that is held."""
     for batch in batches:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, text_rows
+from plumbline.llm.common import in_batches, release, text_rows
 
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -362,6 +362,7 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
             yield page_id, url, text, len(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from in_batches(rows(text_rows(batches)), TEXTS, 256)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

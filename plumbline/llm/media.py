@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, text_rows
+from plumbline.llm.common import in_batches, release, text_rows
 
 #: A payload's length is a positive multiple of this.
 UNIT = 576
@@ -123,6 +123,7 @@ def encode(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes of the text in UTF-8, and the WAV file that holds it; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         data = ((doc_id, (text or "").encode("utf-8", "surrogatepass")) for doc_id, text in text_rows(batches))
         yield from _by_bytes(((doc_id, len(b), to_wav(payload_of(b))) for doc_id, b in data), MEDIA, lambda r: len(r[2]))
 
@@ -138,6 +139,7 @@ def features(media: DataFrame) -> DataFrame:
             yield doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), fingerprint(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from _by_bytes(rows(text_rows(batches)), FEATURES, lambda r: r[7].nbytes)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature array<long>")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_batches, text_rows
+from plumbline.llm.common import in_batches, release, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -303,6 +303,7 @@ def detect(documents: DataFrame, model: Model, sure: float = 0.95) -> DataFrame:
             yield doc_id, *counts, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(every), len(every) - len(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from in_batches(rows(text_rows(batches)), SPANS)
 
     return documents.select("doc_id", "text").mapInArrow(run, SPANS_DDL)
@@ -326,6 +327,7 @@ def redact(documents: DataFrame, model: Model, sure: float = 0.95) -> DataFrame:
     at, columns = documents.columns.index("text"), documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = pa.array([redacted(t, model, sure) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)

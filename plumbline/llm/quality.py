@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, no_cycles, remainder_of, text_rows
+from plumbline.llm.common import in_batches, no_cycles, release, remainder_of, text_rows
 
 BUCKETS = 1 << 17
 LEAST, MOST = 2, 4
@@ -171,6 +171,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: i
             yield doc_id, remainder_of(doc_id, modulus) == held_out, p, int(p >= threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         with no_cycles():
             yield from in_batches(rows(text_rows(batches)), SCORES)
 
@@ -182,6 +183,7 @@ def keep(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array([model.score(t or "") >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 

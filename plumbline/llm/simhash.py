@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import HOT, in_batches, lookup_by_hot_key, text_rows, written
+from plumbline.llm.common import HOT, in_batches, lookup_by_hot_key, release, text_rows, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -75,6 +75,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and fp of every document; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from in_batches(((doc_id, fingerprint(text or "")) for doc_id, text in text_rows(batches)), PRINTS)
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -234,6 +235,7 @@ def cold_links(points: DataFrame) -> DataFrame:
     """Links within shards, of points (tree, shard, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for g in _groups(batches, 2):
                 if g.shape[1] > 1:
@@ -265,6 +267,7 @@ def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
     schema = pa.schema([("tree", pa.int32()), ("shard", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("hubs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def rows() -> Iterator[tuple]:
             for tree, shard, fp, n in text_rows(batches):
                 x, component = hubs.get((tree, shard), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
@@ -288,6 +291,7 @@ def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
     pairs = rest.unionByName(whole).repartition(*keys).sortWithinPartitions(*keys, "fp", "role")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for g in _groups(batches, 4):
                 role = g[5]
@@ -372,6 +376,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     name = next(n for n in ("fp", *(f"fp_{i}" for i in range(len(documents.columns) + 1))) if n not in documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fps = pa.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], schema=batch.schema.append(pa.field(name, pa.int64())))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import in_batches, no_cycles, remainder_of, text_rows
+from plumbline.llm.common import in_batches, no_cycles, release, remainder_of, text_rows
 
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 6)
@@ -168,6 +168,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: i
             yield doc_id, remainder_of(doc_id, modulus) == held_out, p, int(p >= threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         with no_cycles():
             yield from in_batches(rows(text_rows(batches)), SCORES)
 
@@ -185,6 +186,7 @@ def offending(documents: DataFrame, model: Model, at_least: float = 0.5) -> Data
             yield doc_id, [{"start": s, "end": e, "probability": p} for s, e, p in model.locate(text or "", at_least)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         with no_cycles():
             yield from in_batches(rows(text_rows(batches)), SPANS)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_batches, text_rows, written
+from plumbline.llm.common import in_batches, release, text_rows, written
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HOST_END = re.compile(r"[/?#]")
@@ -118,6 +118,7 @@ def universe(pages: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
     """The distinct keys of all urls. Spark counts each task's keys once before the shuffle, so no host is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         schema = pa.schema([("key", pa.string())])
         yield from in_batches(((k,) for (url,) in text_rows(batches) for k in keys_of(*split_url(url), shapes)), schema)
 
@@ -132,6 +133,7 @@ def build(keys: DataFrame, n_keys: int, listed: set[str]) -> Cascade:
         first = Bloom.of(listed, rate, 1)
 
         def run(batches: Iterator[pa.RecordBatch], first: Bloom = first) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 yield batch.filter(pa.array([k in first and k not in listed for k in batch.column(0).to_pylist()], pa.bool_()))
 
@@ -163,6 +165,7 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow") -> Da
             yield page_id, host, path, rule, verdict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from in_batches(rows(text_rows(batches)), VERDICTS)
 
     return pages.select("page_id", "url").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")

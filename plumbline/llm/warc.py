@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lookup_by_hot_key, text_rows, written
+from plumbline.llm.common import lookup_by_hot_key, release, text_rows, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Raw bytes of the records of one archive, about.
@@ -141,6 +141,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     """The pages as a written table of archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[bytes] = []
         size = 0
 
@@ -169,6 +170,7 @@ def read(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for data in batch.column(0):
                 rows = [r[:5] for r in parse(data.as_py())]
