@@ -18,6 +18,14 @@ from plumbline.plans.statements import (
     grouping_sets, rollup, statement,
 )
 
+from plumbline.operators.batches import run_batch
+from plumbline.operators.lineage import edges_frame
+from plumbline.operators.pivots import Field, Pivot, Value
+from plumbline.operators.power_query import PowerQuery
+from plumbline.operators.verify import compare_copies, differences, near
+from plumbline.operators.workbooks import Workbook
+from plumbline.sources.tables import check_key
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -92,7 +100,7 @@ query("agg_where", "SELECT l_returnflag, count(*) FILTER (l_discount > 0.05) AS
 query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 500000", statement(SELECT(o.o_custkey, AS(count_rows(), "n")), FROM(o), GROUP_BY(o.o_custkey), HAVING(more_than(sum_of(o.o_totalprice), 500000))))
 query("agg_total", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem", statement(SELECT(AS(count_rows(), "n"), AS(sql_function("round", sum_of(li.l_extendedprice), 2), "total")), FROM(li)))
 for _f, _sql in (("variance", "var_pop"), ("var_samp", "var_samp"), ("stddev_pop", "stddev_pop"), ("stddev_samp", "stddev_samp"), ("median", "median")):
-    query(f"agg_{_f}", f"SELECT c_nationkey, round({_sql}(c_acctbal), 3) AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(sql_function("round", sql_function(_f, c.c_acctbal), 3), "v")), FROM(c), GROUP_BY(c.c_nationkey)))
+    query(f"agg_{_f}", f"SELECT c_nationkey, round({_sql}(c_acctbal), 6) AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(sql_function("round", sql_function(_f, c.c_acctbal), 6), "v")), FROM(c), GROUP_BY(c.c_nationkey)))
 _sub = (AS(count_rows(), "n"), AS(is_total(o.o_orderpriority), "all_priorities"), AS(is_total(o.o_orderstatus), "all_status"))
 for _f, _sets, _sql in (("rollup", rollup(o.o_orderstatus, o.o_orderpriority), "ROLLUP (o_orderstatus, o_orderpriority)"), ("cube", cube(o.o_orderstatus, o.o_orderpriority), "CUBE (o_orderstatus, o_orderpriority)"), ("grouping_sets", grouping_sets([o.o_orderstatus], [o.o_orderpriority], []), "GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")):
     query(f"sub_{_f}", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderpriority) = 1 AS all_priorities, grouping(o_orderstatus) = 1 AS all_status FROM orders GROUP BY {_sql}", statement(SELECT(o.o_orderstatus, o.o_orderpriority, *_sub), FROM(o), GROUP_BY(_sets)))
@@ -159,4 +167,126 @@ for _f, _args, _sql in (
 query("fn_if", "SELECT o_orderkey, CASE WHEN o_custkey > 50 THEN 1 ELSE 0 END AS v FROM orders", statement(SELECT(o.o_orderkey, AS(sql_function("if", more_than(o.o_custkey, 50).expr, 1, 0), "v")), FROM(o)))
 for _f, _args, _sql in (("corr", (c.c_acctbal, c.c_custkey), "corr(c_acctbal, c_custkey)"), ("covar_pop", (c.c_acctbal, c.c_custkey), "covar_pop(c_acctbal, c_custkey)"), ("covar_samp", (c.c_acctbal, c.c_custkey), "covar_samp(c_acctbal, c_custkey)"), ("max_by", (c.c_custkey, c.c_acctbal), "max_by(c_custkey, c_acctbal)"), ("min_by", (c.c_custkey, c.c_acctbal), "min_by(c_custkey, c_acctbal)"), ("percentile", (c.c_acctbal, 0.5), "quantile_cont(c_acctbal, 0.5)"), ("count_if", (more_than(c.c_acctbal, 0).expr,), "count_if(c_acctbal > 0)"), ("bool_and", (more_than(c.c_acctbal, -900).expr,), "bool_and(c_acctbal > -900)"), ("bool_or", (more_than(c.c_acctbal, 9900).expr,), "bool_or(c_acctbal > 9900)")):
     _v = sql_function(_f, *_args)
-    query(f"agg_{_f}", f"SELECT c_nationkey, {_sql if _f.startswith(('bool', 'count', 'max', 'min')) else f'round({_sql}, 3)'} AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(_v if _f.startswith(("bool", "count", "max", "min")) else sql_function("round", _v, 3), "v")), FROM(c), GROUP_BY(c.c_nationkey)))
+    query(f"agg_{_f}", f"SELECT c_nationkey, {_sql if _f.startswith(('bool', 'count', 'max', 'min')) else f'round({_sql}, 6)'} AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(_v if _f.startswith(("bool", "count", "max", "min")) else sql_function("round", _v, 6), "v")), FROM(c), GROUP_BY(c.c_nationkey)))
+
+# Named functions over windows' ranges, verification and upkeep
+
+
+def _frame(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _on(name: str, sql: str | None, use: Callable[[Callable[[str], DataFrame], SparkSession], DataFrame]) -> None:
+    query(name, sql, lambda spark, sf_dir: use(lambda t: _frame(sf_dir, spark, t), spark))
+
+
+_on("verify_bag_difference", "SELECT o_orderstatus, count(*) FILTER (o_totalprice <= 100000) - count(*) FILTER (o_custkey % 2 = 0) AS extra FROM orders GROUP BY 1 HAVING extra <> 0",
+    lambda t, _: differences(t("orders").where("o_totalprice <= 100000").select("o_orderstatus"), t("orders").where("o_custkey % 2 = 0").select("o_orderstatus")))
+_on("verify_check_key", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY copies DESC, 1, 2 LIMIT 20", lambda t, _: check_key(t("lineitem"), ["l_orderkey", "l_linenumber"]))
+_on("verify_copies", "SELECT coalesce(a.s, b.s) AS o_orderstatus, original, copied FROM (SELECT o_orderstatus AS s, count(*) AS original FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderstatus AS s, count(*) AS copied FROM orders WHERE o_orderkey > 10 GROUP BY 1) b ON a.s = b.s WHERE original IS DISTINCT FROM copied",
+    lambda t, _: compare_copies(t("orders"), t("orders").where("o_orderkey > 10"), ["o_orderstatus"]))
+_on("verify_cells", "SELECT c_custkey, 'c_acctbal' AS \"column\", c_acctbal::VARCHAR AS \"left\", (c_acctbal + 1)::VARCHAR AS \"right\" FROM customer WHERE c_custkey % 100 = 3 AND false",
+    lambda t, _: near(t("customer").select("c_custkey", "c_acctbal"), t("customer").selectExpr("c_custkey", "c_acctbal * (1 + 1e-12) AS c_acctbal"), ["c_custkey"]))
+_on("sql_batch", "SELECT n_name, n FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1) ON n_nationkey = c_nationkey", lambda t, spark: _batch(t, spark))
+_on("sql_lateral_view", "SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS word FROM orders", lambda t, spark: (t("orders").createOrReplaceTempView("raw_orders"), spark.sql("SELECT o_orderkey, word FROM raw_orders LATERAL VIEW explode(split(o_orderpriority, '-')) x AS word"))[1])
+_on("lineage_edges", None, lambda _, spark: edges_frame(spark, {"flagship": flagship}))
+
+
+def _batch(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
+    for name in ("customer", "nation"):
+        t(name).createOrReplaceTempView(f"raw_{name}")
+    script = """INSERT OVERWRITE TABLE mart.final SELECT n_name, n FROM raw_nation JOIN staged ON n_nationkey = c_nationkey; -- reads; first
+        CREATE TEMPORARY TABLE staged AS SELECT c_nationkey, count(*) AS n FROM raw_customer WHERE c_acctbal > <PARM="LEAST"/> GROUP BY c_nationkey"""
+    return run_batch(spark, script, {"LEAST": 100})["mart.final"]
+
+
+# Spreadsheet formulas, over orders, customer and events as tables of a workbook
+
+
+def _book(t: Callable[[str], DataFrame], **options) -> Workbook:
+    return Workbook({n: t(n) for n in ("orders", "customer", "events", "nation")}, {"orders": ["o_orderkey"], "customer": ["c_custkey"], "events": ["event_id"], "nation": ["n_nationkey"]}, names={"rate": 0.25}, today=datetime.date(2024, 1, 31), **options)
+
+
+def formula(name: str, table: str, text: str, sql: str | None, joins: str = "") -> None:
+    key = {"orders": "o_orderkey", "events": "event_id", "customer": "c_custkey"}[table]
+    _on(f"xl_{name}", sql and f"SELECT {key}, {sql} AS v FROM {table} {joins}", lambda t, _: _book(t).add(table, v=text).select(key, "v"))
+
+
+_month = "strftime({}, '%Y-%m-%d')::DATE"
+for _f, _text, _sql in (
+    ("arithmetic", "=([@[o_totalprice]]+1)*2-[@[o_custkey]]/4", "(o_totalprice + 1) * 2 - o_custkey / 4.0"), ("power_percent", "=[@[o_custkey]]^2*50%-1", "pow(o_custkey, 2) * 0.5 - 1"), ("round", "=ROUND([@[o_totalprice]],0)", "round(o_totalprice, 0)"),
+    ("abs", "=ABS(-[@[o_custkey]])", "abs(-o_custkey)"), ("sqrt_power", "=SQRT([@[o_totalprice]])+POWER([@[o_custkey]],2)", "sqrt(o_totalprice) + pow(o_custkey, 2)"), ("mod_int", "=MOD([@[o_custkey]],7)+INT([@[o_totalprice]])", "o_custkey % 7 + floor(o_totalprice)"),
+    ("len", "=LEN([@[o_orderpriority]])", "length(o_orderpriority)"), ("substitute", '=SUBSTITUTE([@[o_orderpriority]],"-","/")', "replace(o_orderpriority, '-', '/')"), ("upper_lower_trim", '=UPPER(LOWER(TRIM([@[o_orderpriority]])))', "upper(o_orderpriority)"),
+    ("iferror", "=IFERROR([@[o_totalprice]]/([@[o_custkey]]-[@[o_custkey]]),0)", "0.0"), ("and_or_not", '=IF(AND([@[o_custkey]]>10,NOT(OR([@[o_orderstatus]]="F",[@[o_orderstatus]]="O"))),1,0)', "CASE WHEN o_custkey > 10 AND NOT (o_orderstatus = 'F' OR o_orderstatus = 'O') THEN 1 ELSE 0 END"),
+    ("if", '=IF([@[o_totalprice]]>100000,"big","small")', "CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END"), ("ifs", '=IFS([@[o_custkey]]<5,"a",[@[o_custkey]]<50,"b",TRUE,"c")', "CASE WHEN o_custkey < 5 THEN 'a' WHEN o_custkey < 50 THEN 'b' ELSE 'c' END"),
+    ("switch", '=SWITCH([@[o_orderstatus]],"F",1,"O",2,9)', "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 9 END"), ("isblank", "=IF(ISBLANK([@[o_orderstatus]]),1,0)", "0"), ("min_max", "=MIN([@[o_custkey]],50)+MAX([@[o_custkey]],20)", "least(o_custkey, 50) + greatest(o_custkey, 20)"),
+    ("left_right_mid", "=LEFT([@[o_orderpriority]],2)&RIGHT([@[o_orderpriority]],2)&MID([@[o_orderpriority]],2,3)", "left(o_orderpriority, 2) || right(o_orderpriority, 2) || substr(o_orderpriority, 2, 3)"), ("find_search", '=FIND("H",[@[o_orderpriority]])+SEARCH("h",[@[o_orderpriority]])', "2 * instr(o_orderpriority, 'H')"),
+    ("isnumber_search", '=IF(ISNUMBER(SEARCH("high",[@[o_orderpriority]])),1,0)', "CASE WHEN contains(o_orderpriority, 'HIGH') THEN 1 ELSE 0 END"), ("concat", '=CONCAT([@[o_orderstatus]],"-",[@[o_orderpriority]])', "o_orderstatus || '-' || o_orderpriority"), ("textjoin", '=TEXTJOIN("+",TRUE,[@[o_orderstatus]],[@[o_orderpriority]])', "o_orderstatus || '+' || o_orderpriority"),
+    ("value", "=VALUE(LEFT([@[o_orderpriority]],1))", "left(o_orderpriority, 1)::DOUBLE"), ("year_month_day", "=YEAR([@[o_orderdate]])*10000+MONTH([@[o_orderdate]])*100+DAY([@[o_orderdate]])", "strftime(o_orderdate, '%Y%m%d')::BIGINT"), ("date", "=DATE(YEAR([@[o_orderdate]]),MONTH([@[o_orderdate]]),1)", "date_trunc('month', o_orderdate)::DATE"),
+    ("today_difference", "=TODAY()-[@[o_orderdate]]", "date_diff('day', o_orderdate::DATE, DATE '2024-01-31')"), ("date_plus", "=[@[o_orderdate]]+30", "o_orderdate::DATE + 30"), ("datedif", '=DATEDIF([@[o_orderdate]],TODAY(),"d")', "date_diff('day', o_orderdate::DATE, DATE '2024-01-31')"),
+    ("eomonth", "=EOMONTH([@[o_orderdate]],0)", "last_day(o_orderdate)"), ("edate", "=EDATE([@[o_orderdate]],1)", "(o_orderdate::DATE + INTERVAL 1 MONTH)::DATE"), ("weekday", "=WEEKDAY([@[o_orderdate]])", "dayofweek(o_orderdate) + 1"), ("text", '=TEXT([@[o_orderdate]],"yyyy-mm")', "strftime(o_orderdate, '%Y-%m')"),
+    ("defined_name", "=[@[o_totalprice]]*rate", "o_totalprice * 0.25"), ("refused", "=OFFSET([@[o_custkey]],1,0)", "NULL::DOUBLE"),
+    ("sumifs_own", "=SUMIFS([o_custkey],[o_orderstatus],[@[o_orderstatus]])", "sum(o_custkey) OVER (PARTITION BY o_orderstatus)"), ("countifs_own", '=COUNTIFS([o_custkey],[@[o_custkey]],[o_orderstatus],"<>F")', "count(*) FILTER (o_orderstatus <> 'F') OVER (PARTITION BY o_custkey)"),
+    ("maxifs_minifs", "=MAXIFS([o_totalprice],[o_custkey],[@[o_custkey]])-MINIFS([o_totalprice],[o_custkey],[@[o_custkey]])", "max(o_totalprice) OVER (PARTITION BY o_custkey) - min(o_totalprice) OVER (PARTITION BY o_custkey)"), ("averageifs", "=ROUND(AVERAGEIFS([o_totalprice],[o_custkey],[@[o_custkey]]),6)", "round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 6)"),
+    ("countif_wildcard", '=COUNTIF([o_orderpriority],"*high*")', "(SELECT count(*) FROM orders WHERE o_orderpriority ILIKE '%high%')"), ("running_total", '=SUMIFS([o_custkey],[o_orderstatus],[@[o_orderstatus]],[o_orderdate],"<="&[@[o_orderdate]])', "sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate RANGE UNBOUNDED PRECEDING)"),
+    ("rank", "=RANK.EQ([@[o_totalprice]],[o_totalprice])", "rank() OVER (ORDER BY o_totalprice DESC)"), ("rank_up", "=RANK([@[o_totalprice]],[o_totalprice],1)", "rank() OVER (ORDER BY o_totalprice)"), ("whole_column", "=ROUND([@[o_totalprice]]/SUM([o_totalprice])*1000000,3)", "round(o_totalprice / (SELECT sum(o_totalprice) FROM orders) * 1000000, 3)"),
+    ("sumproduct", '=SUMPRODUCT((orders[o_orderstatus]="F")*((orders[o_custkey]<50)+(orders[o_custkey]>900))*orders[o_custkey])', "(SELECT sum(o_custkey) FROM orders WHERE o_orderstatus = 'F' AND (o_custkey < 50 OR o_custkey > 900))"),
+    ("xlookup", '=XLOOKUP([@[o_custkey]],customer[c_custkey],customer[c_name],"none")', "coalesce((SELECT c_name FROM customer WHERE c_custkey = o_custkey), 'none')"), ("vlookup", "=VLOOKUP([@[o_custkey]],customer,2,FALSE)", "(SELECT c_name FROM customer WHERE c_custkey = o_custkey)"), ("index_match", "=INDEX(customer[c_mktsegment],MATCH([@[o_custkey]],customer[c_custkey],0))", "(SELECT c_mktsegment FROM customer WHERE c_custkey = o_custkey)"),
+):
+    formula(_f, "orders", _text, _sql)
+formula("sumifs_other", "customer", '=SUMIFS(orders[o_orderkey],orders[o_custkey],[@[c_custkey]])+COUNTIFS(orders[o_custkey],[@[c_custkey]],orders[o_orderstatus],"F")', "coalesce(s, 0) + coalesce(f, 0)", "LEFT JOIN (SELECT o_custkey, sum(o_orderkey) AS s, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+formula("countifs_compared", "customer", '=COUNTIFS(nation[n_nationkey],"<"&[@[c_nationkey]],nation[n_regionkey],0)', "(SELECT count(*) FROM nation WHERE n_nationkey < c_nationkey AND n_regionkey = 0)")
+_on("xl_total_row", "SELECT sum(o_custkey) AS a, count(o_orderstatus) AS b, max(o_totalprice) AS c, min(o_totalprice) AS d FROM orders", lambda t, _: _book(t).total_row("orders", a=("o_custkey", 109), b=("o_orderstatus", 103), c=("o_totalprice", 104), d=("o_totalprice", 105)))
+_on("xl_typed_over", "SELECT o_orderkey, CASE o_orderkey WHEN 5 THEN -1 ELSE o_custkey * 2 END AS v FROM orders", lambda t, _: _book(t).typed_over("orders", "v", "=[@[o_custkey]]*2", {5: -1}).select("o_orderkey", "v"))
+
+# Power Query steps
+
+
+def m(name: str, text: str, sql: str | None) -> None:
+    _on(f"m_{name}", sql, lambda t, _: PowerQuery({n: t(n) for n in ("orders", "customer", "nation", "region", "supplier")}).run(f'let Source = Excel.CurrentWorkbook(){{[Name="{text.split(":", 1)[0]}"]}}[Content], {text.split(":", 1)[1]}'))
+
+
+for _f, _text, _sql in (
+    ("select_rows", 'orders:A = Table.SelectRows(Source, each [o_orderstatus] = "F" and [o_totalprice] > 1000), B = Table.SelectColumns(A, {"o_orderkey"}) in B', "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000"),
+    ("group", 'orders:A = Table.Group(Source, {"o_custkey"}, {{"n", each Table.RowCount(_), Int64.Type}, {"top", each List.Max([o_totalprice]), type number}, {"kinds", each List.Count(List.Distinct([o_orderstatus]))}}), B = Table.SelectRows(A, each [n] > 5) in B', "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1 HAVING n > 5"),
+    ("add_rename_remove", 'nation:A = Table.AddColumn(Source, "up", each Text.Lower([n_name]) & "!"), B = Table.RenameColumns(A, {{"n_nationkey", "k"}}), C = Table.RemoveColumns(B, {"n_regionkey"}), D = Table.ReorderColumns(C, {"up", "k", "n_name"}) in D', "SELECT lower(n_name) || '!' AS up, n_nationkey AS k, n_name FROM nation"),
+    ("transform_replace", 'nation:A = Table.TransformColumns(Source, {{"n_name", Text.Lower}, {"n_regionkey", each _ * 10}}), B = Table.ReplaceValue(A, "nation", "land", Replacer.ReplaceText, {"n_name"}), C = Table.DuplicateColumn(B, "n_name", "copy") in C', "SELECT n_nationkey, replace(lower(n_name), 'nation', 'land') AS n_name, n_regionkey * 10 AS n_regionkey, replace(lower(n_name), 'nation', 'land') AS copy FROM nation"),
+    ("nested_join", 'nation:A = Table.NestedJoin(Source, {"n_regionkey"}, region, {"r_regionkey"}, "r", JoinKind.LeftOuter), B = Table.ExpandTableColumn(A, "r", {"r_name"}, {"region"}) in B', "SELECT n_nationkey, n_name, n_regionkey, r_name AS region FROM nation LEFT JOIN region ON r_regionkey = n_regionkey"),
+    ("anti_join", 'customer:A = Table.NestedJoin(Source, {"c_custkey"}, orders, {"o_custkey"}, "o", JoinKind.LeftAnti), B = Table.SelectColumns(A, {"c_custkey"}) in B', "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    ("semi_join", 'customer:A = Table.SelectRows(Source, each List.Contains(orders[o_custkey], [c_custkey])), B = Table.SelectColumns(A, {"c_custkey"}) in B', "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
+    ("cross", 'region:A = Table.AddColumn(Source, "n", each nation), B = Table.ExpandTableColumn(A, "n", {"n_name"}) in B', "SELECT r_regionkey, r_name, n_name FROM region, nation"),
+    ("combine_distinct", 'nation:A = Table.SelectColumns(Source, {"n_regionkey"}), B = Table.RenameColumns(region, {{"r_regionkey", "n_regionkey"}}), C = Table.Distinct(Table.Combine({A, B})) in C', "SELECT DISTINCT n_regionkey, r_name FROM (SELECT n_regionkey, NULL AS r_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region)"),
+    ("unpivot", 'nation:A = Table.Unpivot(Source, {"n_nationkey", "n_regionkey"}, "what", "value") in A', "SELECT n_name, 'n_nationkey' AS what, n_nationkey AS value FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey FROM nation"),
+    ("pivot", 'orders:A = Table.SelectColumns(Source, {"o_custkey", "o_orderstatus", "o_orderkey"}), B = Table.Pivot(A, {"F", "O"}, "o_orderstatus", "o_orderkey", List.Sum) in B', "SELECT o_custkey, sum(o_orderkey) FILTER (o_orderstatus = 'F') AS \"F\", sum(o_orderkey) FILTER (o_orderstatus = 'O') AS \"O\" FROM orders GROUP BY 1"),
+    ("sort_first", 'orders:A = Table.Sort(Source, {{"o_totalprice", Order.Descending}, {"o_orderkey", Order.Ascending}}), B = Table.FirstN(A, 10), C = Table.SelectColumns(B, {"o_orderkey"}) in C', "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    ("index", 'orders:A = Table.Sort(Source, {{"o_totalprice", Order.Descending}, {"o_orderkey", Order.Ascending}}), B = Table.AddIndexColumn(A, "i", 1, 2), C = Table.SelectColumns(B, {"o_orderkey", "i"}) in C', "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) * 2 - 1 AS i FROM orders"),
+    ("null_aware", 'nation:A = Table.AddColumn(Source, "x", each if [n_regionkey] > 2 then null else [n_regionkey]), B = Table.SelectRows(A, each [x] <> 1), C = Table.SelectColumns(B, {"n_nationkey"}) in C', "SELECT n_nationkey FROM nation WHERE n_regionkey <> 1"),
+    ("scalars", 'orders:A = Table.AddColumn(Source, "v", each Text.Middle([o_orderpriority], 2, 3) & Text.Combine({[o_orderstatus], "z"}, "/")), B = Table.AddColumn(A, "d", each Date.AddDays(Date.StartOfMonth([o_orderdate]), 3)), C = Table.SelectColumns(B, {"o_orderkey", "v", "d"}) in C', "SELECT o_orderkey, substr(o_orderpriority, 3, 3) || o_orderstatus || '/z' AS v, date_trunc('month', o_orderdate)::DATE + 3 AS d FROM orders"),
+):
+    m(_f, _text, _sql)
+
+# Pivot tables
+
+
+def pivot(name: str, sql: str, spec: Pivot) -> None:
+    _on(f"pivot_{name}", sql, lambda t, _: spec.lower(t("orders")))
+
+
+_st, _pr = Field("o_orderstatus"), Field("o_orderpriority")
+_n = Value("n", how="count")
+_cells = "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2"
+pivot("summaries", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 1) AS s, max(o_totalprice) AS hi, min(o_totalprice) AS lo, count(DISTINCT o_custkey) AS d FROM orders GROUP BY 1", Pivot((_st,), (), (_n, Value("s", formula="round(sum_o_totalprice, 1)"), Value("hi", "o_totalprice", "max"), Value("lo", "o_totalprice", "min"), Value("d", "o_custkey", "distinct"))))
+for _f, _v, _sql in (
+    ("share_of_total", Value("n", how="count", show="% of total"), "n / sum(n) OVER ()"), ("share_of_row", Value("n", how="count", show="% of row"), "n / sum(n) OVER (PARTITION BY o_orderstatus)"), ("share_of_column", Value("n", how="count", show="% of column"), "n / sum(n) OVER (PARTITION BY o_orderpriority)"),
+    ("running_total", Value("n", how="count", show="running total", base="o_orderpriority"), "sum(n) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ROWS UNBOUNDED PRECEDING)"), ("rank", Value("n", how="count", show="rank down", base="o_orderpriority"), "rank() OVER (PARTITION BY o_orderstatus ORDER BY n DESC)"),
+    ("difference", Value("n", how="count", show="difference", base="o_orderstatus", item="F"), "n - max(n) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_orderpriority)"), ("percent_difference", Value("n", how="count", show="% difference", base="o_orderstatus", item="F"), "(n - max(n) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_orderpriority)) / max(n) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_orderpriority)"),
+):
+    pivot(_f, f"SELECT o_orderstatus, o_orderpriority, {_sql} AS n FROM ({_cells})", Pivot((_st,), (_pr,), (_v,)))
+pivot("dates", "SELECT year(o_orderdate) AS y, 'Qtr' || quarter(o_orderdate) AS q, strftime(o_orderdate, '%b') AS m, count(*) AS n FROM orders GROUP BY ALL", Pivot((Field("o_orderdate", "y", "years"), Field("o_orderdate", "q", "quarters")), (Field("o_orderdate", "m", "months"),), (_n,)))
+pivot("bins", "SELECT CASE WHEN o_totalprice < 0 THEN '<0' WHEN o_totalprice > 200000 THEN '>200000' ELSE (floor(o_totalprice / 50000) * 50000)::BIGINT || '-' || (floor(o_totalprice / 50000) * 50000 + 49999)::BIGINT END AS b, count(*) AS n FROM orders GROUP BY 1", Pivot((Field("o_totalprice", "b", bins=(0, 200000, 50000)),), (), (_n,)))
+pivot("hand_groups", "SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN 'known' ELSE o_orderstatus END AS g, count(*) AS n FROM orders GROUP BY 1", Pivot((Field("o_orderstatus", "g", groups={"known": ("F", "O")}),), (), (_n,)))
+pivot("calculated_field", "SELECT o_orderstatus, round(sum(o_totalprice) / sum(o_custkey), 6) AS r FROM orders GROUP BY 1", Pivot((_st,), (), (Value("r", formula="round(try_divide(sum_o_totalprice, sum_o_custkey), 6)"),)))
+pivot("filters", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority <> '5-LOW' AND o_totalprice BETWEEN 10 AND 90000 GROUP BY 1", Pivot((_pr,), (), (_n,), keep={"o_orderstatus": ("F", "P")}, drop={"o_orderpriority": ("5-LOW",)}, between={"o_totalprice": (10, 90000)}))
+pivot("top_items", "WITH t AS (SELECT o_custkey, rank() OVER (ORDER BY sum(o_orderkey) DESC) AS p FROM orders GROUP BY 1) SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM t WHERE p <= 7) GROUP BY 1", Pivot((Field("o_custkey"),), (), (_n,), top=("o_custkey", 7, "o_orderkey")))
+_on("pivot_totals", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", lambda t, _: Pivot((_st,), (_pr,), (_n,)).totals(t("orders"), "o_orderstatus"))
+_on("pivot_getpivotdata", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) AS v FROM orders", lambda t, _: Pivot((_st,), (_pr,), (_n,)).value_of(t("orders"), "n", "v", o_orderstatus="o_orderstatus").select("o_orderkey", "v"))
