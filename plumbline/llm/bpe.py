@@ -17,6 +17,7 @@ import gc
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
@@ -33,14 +34,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-#: Keys of a state beside the bytes it moves on.
+#: Keys of a state's readings and of what it owes at the end of a piece, beside the bytes it moves on.
 READINGS, OWED = 256, 257
 
 
+def pack(readings: list[tuple]) -> bytes:
+    """(last token, trie node, tokens owed) of each live reading, as 32-bit numbers."""
+    flat = array("i")
+    for before, node, owed in readings:
+        flat.extend((before, node, len(owed), *owed))
+    return flat.tobytes()
+
+
+def unpack(packed: bytes) -> list[tuple]:
+    flat, at, out = memoryview(packed).cast("i").tolist(), 0, []
+    while at < len(flat):
+        to = at + 3 + flat[at + 2]
+        out.append((flat[at], flat[at + 1], tuple(flat[at + 3 : to])))
+        at = to
+    return out
+
+
 class Transducer:
     """Encodes one pretoken at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 200_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.edges: dict[int, int] = {}  # node * 256 + byte: node
@@ -60,9 +78,10 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        """A state is a dict of its moves; its readings and what it owes at the end of a piece stand beside them."""
-        self.start: dict = {READINGS: ((-1, 0, ()),)}
-        self.states = {self.start[READINGS]: self.start}
+        """A state is a dict of its moves, with its readings packed beside them."""
+        first = pack([(-1, 0, ())])
+        self.start: dict = {READINGS: first}
+        self.states = {first: self.start}
         gc.collect()  # the states dropped refer to each other
 
     def _parts(self, token: int) -> tuple[int, int] | None:
@@ -121,7 +140,7 @@ class Transducer:
         """The state after one more byte, and the tokens that are settled by it."""
         live = []
         edge, edges, token_at = byte, self.edges, self.token_at
-        for before, node, owed in state[READINGS]:
+        for before, node, owed in unpack(state[READINGS]):
             to = edges.get(node << 8 | edge)
             if to is None:
                 continue
@@ -138,14 +157,12 @@ class Transducer:
                 n += 1
             if n:
                 live = [(before, node, owed[n:]) for before, node, owed in live]
-        readings = tuple(live)
+        readings = pack(live)
         after = self.states.get(readings)
         if after is None:
             after = self.states[readings] = {READINGS: readings}
-            for _, node, owed in readings:
-                if not node:
-                    after[OWED] = owed
-        state[byte] = move = (after, first[:n])
+        # The tokens' own numbers, so that none is held twice.
+        state[byte] = move = (after, tuple(map(self.ranks.__getitem__, map(self.bytes_of.__getitem__, first[:n]))))
         return move
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -164,22 +181,29 @@ class Transducer:
             state, emitted = move
             if emitted:
                 out += emitted
-        out += state[OWED]
-        return tuple(out)
+        rest = state.get(OWED)
+        if rest is None:
+            owed = next(owed for _, node, owed in unpack(state[READINGS]) if not node)
+            rest = state[OWED] = tuple(map(self.ranks.__getitem__, map(self.bytes_of.__getitem__, owed)))
+        return (*out, *rest)
 
 
 class Pieces(dict):
-    """Ids of pretokens, as text and as numbers. Frequent ones are kept: the table is dropped when it is full."""
+    """Ids of pretokens, as text and as numbers, in two generations: when this one is full it becomes the older one, and
+    what is used again moves back. So the frequent ones stay, and there are at most most_pieces."""
 
     def __init__(self, fst: Transducer):
         super().__init__()
-        self.fst = fst
+        self.fst, self.older = fst, {}
 
     def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
-        ids = self.fst.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        found = (" ".join(map(str, ids)), ids)
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.fst.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            found = (" ".join(map(str, ids)), ids)
         if len(piece) <= 64:
-            if len(self) >= self.fst.most_pieces:
+            if len(self) >= self.fst.most_pieces // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
