@@ -19,9 +19,9 @@ import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -58,7 +58,7 @@ def unpack(packed: bytes) -> list[tuple]:
 class Transducer:
     """Encodes one pretoken at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 400_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.edges: dict[int, int] = {}  # node * 256 + byte: node
@@ -189,18 +189,18 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Ids of pretokens, as text and as numbers, in two generations: when this one is full it becomes the older one, and
-    what is used again moves back. So the frequent ones stay, and there are at most most_pieces."""
+    """Ids of pretokens as text, in two generations: when this one is full it becomes the older one, and what is used
+    again moves back. So the frequent ones stay, and there are at most most_pieces."""
 
     def __init__(self, fst: Transducer):
         super().__init__()
         self.fst, self.older = fst, {}
+        self.shown = {i: str(i) for i in fst.bytes_of}
 
-    def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
+    def __missing__(self, piece: str) -> str:
         found = self.older.get(piece)
         if found is None:
-            ids = self.fst.encode_piece(piece.encode("utf-8", "surrogatepass"))
-            found = (" ".join(map(str, ids)), ids)
+            found = " ".join(map(self.shown.__getitem__, self.fst.encode_piece(piece.encode("utf-8", "surrogatepass"))))
         if len(piece) <= 64:
             if len(self) >= self.fst.most_pieces // 2:
                 self.older = dict(self)
@@ -288,8 +288,8 @@ class Codec:
         """Ids, and the ids as text."""
         if not (pieces := (self.findall_ascii if text.isascii() else self.findall)(text)):
             return [], ""
-        texts, ids = zip(*map(self.fst.pieces.__getitem__, pieces), strict=True)
-        return list(chain.from_iterable(ids)), " ".join(texts)
+        shown = " ".join(map(self.fst.pieces.__getitem__, pieces))
+        return np.fromstring(shown, np.int64, sep=" ").tolist(), shown
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.stream.feed(ids) + self.stream.end()
