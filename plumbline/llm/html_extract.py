@@ -41,7 +41,7 @@ IMPLIED_END = {"p": _BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd
 #: An implied end does not reach beyond these.
 _WALLS = frozenset("html body table ul ol dl div section article aside nav main header footer form td th".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -139,6 +139,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+_HOLDERS = frozenset("article main section div aside nav header footer form body ol ul ins".split())
+
 #: Words of notices, in the languages of most pages; a block that has one gets the feature.
 CUES = frozenset("cookie cookies copyright rights reserved subscribe newsletter advertisement sponsored login comments reply privacy consent".split())
 
@@ -150,6 +152,9 @@ def path_features(path: tuple[str, ...]) -> list[str]:
         found.add("t:" + tag)
         found.update("c:" + w for w in words)
     found.add("own:" + (path[-1].split(" ")[0] if path else "none"))
+    # The nearest ancestor that holds several blocks says most.
+    near = next((node for node in reversed(path) if node.split(" ")[0] in _HOLDERS), "none")
+    found.update(["near:" + near.split(" ")[0], f"named:{' ' in near}"])
     return sorted(found)
 
 
@@ -330,10 +335,11 @@ def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[list[Block], list[
     out = []
     for _ in range(n):
         middle = main()
-        if rng.random() < 0.3:  # something else within the article
-            cut = middle.rfind("</p>") + 4
-            if cut > 4:
-                middle = middle[:cut] + other(rng.choice(("advert", "share", "notice", "form", "comments", "sidebar"))) + middle[cut:]
+        for _ in range(rng.choice((0, 0, 1, 2))):  # something else within the article
+            cuts = [m.end() for m in re.finditer("</p>|</h1>", middle)]
+            if cuts:
+                cut = rng.choice(cuts)
+                middle = middle[:cut] + other(rng.choice(("advert", "advert", "share", "notice", "form", "comments", "sidebar"))) + middle[cut:]
         if rng.random() < 0.15:
             middle = f"<header>{middle[:middle.find('</h1>') + 5]}</header>{middle[middle.find('</h1>') + 5:]}" if "</h1>" in middle else middle
         parts = [other(k) for k in ("header", "menu", "notice", "advert", "sidebar", "form") if rng.random() < 0.5]
