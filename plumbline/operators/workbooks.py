@@ -409,7 +409,7 @@ class _Writer:
         return F.col(name)
 
 
-def value_ranks(df: DataFrame, c: Column, down: bool, value: str, place: str, buckets: int = 200) -> DataFrame:
+def value_ranks(df: DataFrame, c: Column, down: bool, value: str, place: str, buckets: int = 64) -> DataFrame:
     """Each distinct value and its rank. Values are dealt to buckets by approximate quantiles and ranked within; the ranks
     of whole buckets, which are few, are added, so that no task sorts all values."""
     counts = df.where(c.isNotNull()).groupBy(c.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
