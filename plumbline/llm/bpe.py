@@ -277,8 +277,8 @@ def ascii_twin(pattern: str) -> str | None:
 class Codec:
     """Encoding and decoding of whole texts by a rank file and a pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, **tables: int):
+        self.fst = Transducer(ranks, **tables)
         self.findall = regex.compile(pattern).findall
         twin = ascii_twin(pattern)
         self.findall_ascii = re.compile(twin, re.ASCII).findall if twin else self.findall
@@ -295,9 +295,9 @@ class Codec:
         return self.stream.feed(ids) + self.stream.end()
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker, which is used for all its tasks."""
-    return kept(("bpe", path, pattern), lambda: Codec(read_ranks(path), pattern))
+def codec(path: str, pattern: str, **tables: int) -> Codec:
+    """One for each Python worker, which is used for all its tasks. tables: the transducer's most_states, most_pieces."""
+    return kept(("bpe", path, pattern, *sorted(tables.items())), lambda: Codec(read_ranks(path), pattern, **tables))
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -316,8 +316,11 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and sha256 of the ids and of the decoded bytes; the ids stay in the worker."""
+def digests(documents: DataFrame, path: str, pattern: str, **tables: int) -> DataFrame:
+    """doc_id, n_tokens, and sha256 of the ids and of the decoded bytes; the ids stay in the worker.
+
+    tables: most_states and most_pieces, which trade a worker's memory for time and change no result.
+    """
 
     def rows(c: Codec, given: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in given:
@@ -327,6 +330,6 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with no_cycles():
-            yield from in_batches(rows(codec(path, pattern), text_rows(batches)), DIGESTS)
+            yield from in_batches(rows(codec(path, pattern, **tables), text_rows(batches)), DIGESTS)
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
