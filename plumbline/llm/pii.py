@@ -4,7 +4,7 @@ Base spans are the leftmost non-overlapping matches of one pattern per kind. The
 entity-shaped tokens (runs without white space that hold a digit or an @); every other token is O. Neighbouring nodes with
 one white-space character between them share a chain potential. Tokens that are far apart share a skip potential if they
 are equal, or similar (the same digits in the same order, or the same letters around an @); each occurrence is joined to
-the next one of its group, so a group of n tokens has n - 1 skip edges. Marginals come from loopy sum-product messages,
+the next one of its group, by a skip edge unless a chain edge joins them, so a group of n tokens has n - 1 edges. Marginals come from loopy sum-product messages,
 damped, for a fixed number of rounds; labels thereby agree within a document. Runs of tokens whose marginal passes
 `sure` and that touch no base span are added spans; base spans always stay.
 
@@ -154,7 +154,7 @@ def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
         if i and spans[i - 1][1] + 1 == start:
             edges.append((i - 1, i, 0))
         if (g := _group(text[start:end])) is not None:
-            if g in last and last[g] != i - 1:
+            if g in last and spans[last[g]][1] + 1 != start:  # else the chain edge joins them
                 edges.append((last[g], i, 1))
             last[g] = i
     return Graph(spans, kinds, [features(text, spans, i, k) for i, k in enumerate(kinds)], edges)

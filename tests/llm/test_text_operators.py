@@ -65,6 +65,13 @@ def test_skip_edges_carry_labels():
     assert with_edge[pii.LABELS.index("card")] > 0.5 > alone[pii.LABELS.index("card")]
 
 
+def test_equal_tokens_with_prose_between_share_a_skip_edge():
+    token, prose = "663-555-6869", " and nothing but plain words for a while " * 20
+    assert pii.graph(token + prose + token, []).edges == [(0, 1, 1)]
+    assert pii.graph(f"{token} {token}", []).edges == [(0, 1, 0)]
+    assert pii.graph(f"{token}  {token}{prose}{token} 7 {token}", []).edges == [(0, 1, 1), (1, 2, 1), (2, 3, 0), (3, 4, 0), (2, 4, 1)]
+
+
 def test_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(1)
     model = pii.Model(rng.normal(size=(pii.BUCKETS, 5)), rng.normal(size=(2, 5, 5)))
