@@ -27,8 +27,8 @@ from plumbline.llm.common import in_batches, no_cycles, release, remainder_of, t
 
 BUCKETS = 1 << 17
 LEAST, MOST = 2, 4
-#: Longest part of a word whose n-grams are taken; the word itself counts whole.
-WORD = 40
+#: Longest word that is kept in tables, with its n-grams; those of longer ones are taken in blocks of so many starts.
+WORD, BLOCK = 64, 4096
 
 
 def _hash(data: bytes) -> int:
@@ -38,18 +38,22 @@ def _hash(data: bytes) -> int:
 _DOCUMENT, _REPEAT = _hash(b"\x00document"), _hash(b"\x00repeat")
 
 
-def parts(word: str) -> list[str]:
-    """The word, told apart from n-grams by a mark, and its character n-grams."""
-    w = f"<{word if len(word) <= WORD else word[:WORD]}>"
+def parts(word: str) -> Iterator[list[str]]:
+    """The word, told apart from n-grams by a mark, and its character n-grams, in lists of bounded length."""
+    w = f"<{word}>"
     out = ["\x00" + word]
-    for n in range(LEAST, MOST + 1):
-        out += [w[i : i + n] for i in range(len(w) - n + 1)]
-    return out
+    for at in range(0, len(w), BLOCK):
+        for n in range(LEAST, MOST + 1):
+            out += [w[i : i + n] for i in range(at, min(at + BLOCK, len(w) - n + 1))]
+        yield out
+        out = []
 
 
-def word_buckets(word: str) -> list[int]:
+def word_buckets(word: str) -> Iterator[int]:
     """Buckets of a word and its character n-grams."""
-    return [_hash(p.encode("utf-8", "surrogatepass")) for p in parts(word)]
+    for block in parts(word):
+        for p in block:
+            yield _hash(p.encode("utf-8", "surrogatepass"))
 
 
 def features(text: str, known: dict[str, list[int]]) -> Counter:
@@ -59,7 +63,9 @@ def features(text: str, known: dict[str, list[int]]) -> Counter:
     for w, n in Counter(words).items():
         found = known.get(w)
         if found is None:
-            found = known[w] = word_buckets(w)
+            found = word_buckets(w)
+            if len(w) <= WORD:
+                found = known[w] = list(found)
         for b in found:
             out[b] += n
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
@@ -98,13 +104,17 @@ class Model:
         self.grams = Margins(self.margins)
 
     def word(self, word: str) -> tuple[float, int]:
+        if len(word) > WORD:
+            margins, total, n = self.margins, 0.0, 0
+            for block in parts(word):
+                total += float(margins[[_hash(p.encode("utf-8", "surrogatepass")) for p in block]].sum(dtype=np.float64))
+                n += len(block)
+            return total, n
         if len(self.known) >= 300_000:
             self.known.clear()
-        whole, *grams = parts(word)
+        ((whole, *grams),) = parts(word)
         own = float(self.margins[_hash(whole.encode("utf-8", "surrogatepass"))])
-        found = (own + sum(map(self.grams.__getitem__, grams)), 1 + len(grams))
-        if len(word) <= 64:
-            self.known[word] = found
+        found = self.known[word] = (own + sum(map(self.grams.__getitem__, grams)), 1 + len(grams))
         return found
 
     def score(self, text: str) -> float:

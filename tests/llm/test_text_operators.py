@@ -115,6 +115,23 @@ def test_classifiers_on_odd_rows(odd, nothing):
     assert kept.columns == odd.columns
 
 
+def test_quality_reads_words_to_their_end():
+    """Text without white space: n-grams from the first to the last character, in blocks too, and alike in training."""
+    long = "".join(random.Random(4).choices("abcdefgh", k=13_000))
+    for word in ("a" * 41 + "zq", "中文" * 70 + "好書", long):
+        w = f"<{word}>"
+        want = sorted(quality._hash(p.encode()) for p in ["\x00" + word, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1))])
+        found = quality.features(word, {})
+        found[quality._DOCUMENT] -= 1
+        assert sorted(found.elements()) == want
+        margins = np.random.default_rng(3).normal(size=quality.BUCKETS).astype(np.float32)
+        z = (float(margins[want].sum(dtype=np.float64)) + float(margins[quality._DOCUMENT])) / (len(want) + 1)
+        assert quality.Model(margins).score(word) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+    start = "無" * 45
+    m = quality.train([(start + "好書" * 20, 1), (start + "壞字" * 20, 0)] * 5)
+    assert m.score(start + "好書" * 9) > 0.5 > m.score(start + "壞字" * 9)
+
+
 def test_noisy_or_is_the_product():
     m = toxicity.Model(-2.0, {b: 3.0 for b in toxicity.buckets("bad")[:1]})
     p = [1 / (1 + np.exp(-z)) for z in (1.0, -2.0, -2.0)]
