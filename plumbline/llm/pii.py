@@ -5,7 +5,7 @@ entity-shaped tokens (runs without white space that hold a digit or an @); every
 one white-space character between them share a chain potential. Tokens that are far apart share a skip potential if they
 are equal, or similar (the same digits in the same order, or the same letters around an @); each occurrence is joined to
 the next one of its group, by a skip edge unless a chain edge joins them, so a group of n tokens has n - 1 edges. Marginals come from loopy sum-product messages,
-damped, for a fixed number of rounds; labels thereby agree within a document. Runs of tokens whose marginal passes
+damped, until they settle, with rounds enough to cross the document; labels thereby agree within a document. Runs of tokens whose marginal passes
 `sure` and that touch no base span are added spans; base spans always stay.
 
 The weights are trained piecewise: node potentials as a softmax regression and edge potentials as a softmax over the label
@@ -206,8 +206,12 @@ def train(texts: list[str], epochs: int = 6, seed: int = 7) -> Model:
     return Model(node, np.clip(edge, -3, 3))
 
 
-def marginals(g: Graph, model: Model, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
-    """Label marginals of the nodes by damped loopy sum-product messages."""
+def marginals(g: Graph, model: Model, rounds: int | None = None, damping: float = 0.3, least: float = 1e-8) -> np.ndarray:
+    """Label marginals of the nodes by damped loopy sum-product messages.
+
+    They go on until none changes by `least`; one that has settled is computed anew only when one it depends on changes.
+    As messages in cycles may never settle, rounds are bounded: by 100 and 4 for each edge of the longest path, if not given.
+    """
     unary = np.array([model.node[b].sum(axis=0) for b in g.buckets])
     for i, kinds in enumerate(g.kinds):  # base spans are evidence
         for k in kinds:
@@ -218,17 +222,28 @@ def marginals(g: Graph, model: Model, rounds: int = 10, damping: float = 0.3) ->
     src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
     pot = np.concatenate([model.edge[e[:, 2]], model.edge[e[:, 2]].transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
+    if rounds is None:
+        hops = [0] * len(unary)  # edges come by their later node
+        for i, j, _ in g.edges:
+            hops[j] = max(hops[j], hops[i] + 1)
+        rounds = 100 + 4 * max(hops)
     message = np.zeros((len(src), len(LABELS)))
+    belief = unary.copy()
+    now = np.arange(len(src))
     for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, dst, message)
-        out = (belief[src] - message[back])[:, :, None] + pot
+        out = (belief[src[now]] - message[back[now]])[:, :, None] + pot[now]
         top = out.max(axis=1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
-        message = damping * message + (1 - damping) * new
-    belief = unary.copy()
-    np.add.at(belief, dst, message)
+        step = (1 - damping) * (new - message[now])
+        message[now] += step
+        np.add.at(belief, dst[now], step)
+        moved = now[np.abs(step).max(axis=1) >= least]
+        if not len(moved):
+            break
+        again, reached = np.zeros(len(src), bool), np.zeros(len(unary), bool)
+        again[moved] = reached[dst[moved]] = True
+        now = np.flatnonzero(again | reached[src])
     return _softmax(belief)
 
 

@@ -83,6 +83,16 @@ def test_messages_are_exact_on_a_chain():
     assert np.allclose(got, [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=1e-6)
 
 
+def test_messages_cross_a_long_group():
+    """Evidence at the first of 300 mentions reaches the last, as much as it should."""
+    n, w = 300, 8.0
+    model = pii.Model(np.zeros((pii.BUCKETS, 5)), np.stack([np.zeros((5, 5)), w * np.eye(5)]))
+    g = pii.Graph([(9 * i, 9 * i + 4) for i in range(n)], [{"card"}, *(set() for _ in range(n - 1))], [[0]] * n, [(i, i + 1, 1) for i in range(n - 1)])
+    first, share = np.exp(8) / (np.exp(8) + 4), (np.exp(w) - 1) / (np.exp(w) + 4)
+    got = pii.marginals(g, model)[:, pii.LABELS.index("card")]
+    assert got[-1] > 0.6 and np.allclose(got, 0.2 + (first - 0.2) * share ** np.arange(n), atol=1e-5)
+
+
 def auc(rows):
     rows = sorted(rows)
     ranks = {k: i for i, k in enumerate(range(len(rows)))}
