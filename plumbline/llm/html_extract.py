@@ -57,7 +57,7 @@ def _node(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
     words = [w for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1].lower())]
-    return " ".join([tag, *words[:12]])
+    return " ".join([tag, *dict.fromkeys(words)])
 
 
 def blocks(page: str) -> list[Block]:
@@ -161,12 +161,10 @@ def path_features(path: tuple[str, ...]) -> list[str]:
 def text_features(b: Block) -> list[str]:
     n = len(b.text)
     found = ["bias", f"len:{min(n.bit_length(), 10)}", f"links:{round(4 * b.linked / n)}", "end:" + ("stop" if b.text[-1] in ".!?:;\"'”»…" else "word")]
-    if n < 400:
-        low = b.text.lower()
-        if "©" in low:
-            found.append("sign")
-        if not CUES.isdisjoint(_WORD.findall(low)):
-            found.append("cue")
+    if n < 400 and "©" in b.text:
+        found.append("sign")
+    if not CUES.isdisjoint(_WORD.findall(b.text.lower())):
+        found.append("cue")
     return found
 
 

@@ -196,6 +196,14 @@ def test_blocks_and_extraction(spark):
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out) and {r.text for r in out if r.page_id in (1, 2)} == {""}
 
 
+def test_features_see_every_class_word_and_long_notices():
+    utilities = " ".join(f"{a}{b}" for a in "pqrs" for b in "wxyz")
+    page = f'<body><p class="{utilities} sidebar">One two.</p><div class="{utilities}" id="comments">Three.</div><p>{"word " * 100}cookie consent.</p>'
+    one, two, three = html_extract.blocks(page)
+    assert "c:sidebar" in html_extract.path_features(one.path) and "c:comments" in html_extract.path_features(two.path)
+    assert len(three.text) > 400 and "cue" in html_extract.text_features(three)
+
+
 def test_field_on_pages_it_has_not_seen():
     pages = html_extract.labelled_pages(500, seed=21)
     model = html_extract.train(pages[:400])
