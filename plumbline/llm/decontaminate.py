@@ -3,15 +3,16 @@
 A window is WINDOW consecutive words of a benchmark item (or all of a shorter item); a document's words inside an
 occurrence of a window are hit. Windows are sets of positioned shingles of SHINGLE words (one shingle for shorter windows).
 
-1. One pass over the documents finds each position that holds some shingle of the benchmark: shingles are hashed, met with
-   the benchmark's by hash, and compared as texts. These rows, and one row for each document, are written.
-2. The benchmark's shingles are ordered by rarity in the documents. An occurrence holds all of a window's shingles, so the
-   prefix that must be joined is its single rarest one. Only its rows meet the window.
+1. Shingles are ordered by rarity: one pass counts how often the documents hold each shingle of the benchmark.
+2. An occurrence holds all of a window's shingles, so the prefix that must be joined is its single rarest one. A second
+   pass meets the documents with these prefixes only. A literal filter of bounded size passes every position that holds
+   one, and few others; rows are made for those positions alone.
 3. Length and positional bounds give the window's one possible place, which must lie within the document; there the
-   document's shingles are compared with the window's, all of them in order, which is exact containment.
+   document's words are compared with the window's, all of them in order, which is exact containment.
 
-Documents are shuffled only as rows of positions that hold benchmark shingles. The benchmark's shingles are broadcast if
-there are at most BROADCAST_ROWS of them; beyond that the same join is a shuffle of hashes.
+Up to BROADCAST_ROWS prefixes of BROADCAST_BYTES in all are broadcast, and a position brings the words around it. Beyond
+that positions are shuffled as (document, place, hash), frequent hashes apart, and only documents that hold a prefix fetch
+their words. Work is proportional to a document's words, however many they are.
 
 Defined results: a null or empty text has no words, no hits, and is not contaminated. Items without words have no windows.
 Rows of one item id are one item; an item without id hits words but is not counted or listed. Repeated documents are
@@ -21,22 +22,24 @@ judged alike, one row each.
 from __future__ import annotations
 
 import string
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import lookup_by_hot_key, written
 
 WINDOW = 13
 SHINGLE = 5
 #: A word is hit if it lies in an occurrence; a document is contaminated if one in SHARE words is hit.
 SHARE = 20
-#: Benchmark rows that are broadcast, at most; about 200 bytes each.
+#: Prefixes that are broadcast with their windows, at most, and the bytes of those windows.
 BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 64 << 20
+#: Bits of the slots of the literal filter: 32 slots a prefix within these bounds.
+FILTER_BITS = (16, 22)
 #: What separates words, once A-Z are lower-cased.
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_MARK = 0
+_LONG = "array<bigint>"
 
 
 def words(text: Column) -> Column:
@@ -46,111 +49,134 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, _SEPARATOR), "")
 
 
-def _hashes(w: Column, n: Column, size: int) -> Column:
-    """Hashes of the shingles of a size; an empty array if there are none."""
-    each = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
-    return F.when(n >= size, each).otherwise(F.array().cast("array<bigint>"))
+def _hashes(wh: Column, n: Column, size: int) -> Column:
+    """Hashes of the shingles of a size, from the hashes of the n words; an empty array if there are none."""
+    each = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(wh, i + j) for j in range(size)]))
+    return F.when(n >= size, each).otherwise(F.array().cast(_LONG))
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, len, k (the shingles' size) and texts (the shingles' texts in order) of each window."""
+    """item_id, len and words of each window of an item, once."""
     w = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0").withColumn("len", F.least(F.lit(WINDOW), F.col("n")))
-    each = w.select("item_id", "len", F.least(F.lit(SHINGLE), F.col("len")).alias("k"), F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("len")), lambda s: F.slice("w", s + 1, F.col("len")))).alias("win"))
-    texts = F.transform(F.sequence(F.lit(0), F.col("len") - F.col("k")), lambda j: F.array_join(F.slice("win", j + 1, F.col("k")), " "))
-    return each.select("item_id", "len", "k", texts.alias("texts")).distinct()
-
-
-def _sid(seed: int):
-    """A shingle's number: a hash of its text that is without collisions in the benchmark, as `dictionary` has checked."""
-    return lambda t: F.xxhash64(F.lit(seed), t)
-
-
-def dictionary(wins: DataFrame) -> tuple[DataFrame, int, int, list[int]]:
-    """The benchmark's shingles (k, text, sid, h), their number, the seed of sid and the sizes that occur."""
-    texts = written(wins.select("k", F.explode("texts").alias("text")).distinct(), "shingles")
-    sizes = sorted(r.k for r in texts.select("k").distinct().collect())
-    seed = 1
-    while True:
-        n, n_sid = texts.agg(F.count(F.lit(1)), F.count_distinct("k", _sid(seed)(F.col("text")))).first()
-        if n == n_sid:
-            break
-        seed += 1
-    parts = F.split("text", " ")
-    # The same hash as _hashes gives: over as many words as the shingle has.
-    h = reduce(lambda rest, k: F.when(F.col("k") == k, F.xxhash64(*[F.get(parts, F.lit(j)) for j in range(k)])).otherwise(rest), sizes, F.lit(None).cast("long"))
-    return texts.select("k", "text", _sid(seed)(F.col("text")).alias("sid"), h.alias("h")), n, seed, sizes
-
-
-def _places(pos: Column, n: Column, sizes: list[int]) -> tuple[Column, Column]:
-    """Size and first word of the shingle at a place of the exploded array, which holds the mark, then size after size."""
-    k, i = F.lit(0), F.lit(-1)
-    lo = F.lit(1)
-    bounds = []
-    for size in sizes:
-        bounds.append((size, lo))
-        lo = lo + F.greatest(n - size + 1, F.lit(0))
-    for size, low in bounds:
-        k = F.when(pos >= low, F.lit(size)).otherwise(k)
-        i = F.when(pos >= low, pos - low).otherwise(i)
-    return k, i
-
-
-def shingle_hits(documents: DataFrame, words_of: DataFrame, n_shingles: int, sizes: list[int]) -> DataFrame:
-    """uid, doc_id, th (text hash), n_words, k, i and sid of each position that holds a benchmark shingle, and a row with
-    k 0 for each document; written."""
-    docs = documents.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    docs = docs.withColumn("n_words", F.size("w"))
-    arrays = F.concat(F.array(F.lit(_MARK).cast("long")), *[_hashes(F.col("w"), F.col("n_words"), k) for k in sizes])
-    each = docs.select("uid", "doc_id", "th", "n_words", "w", F.posexplode(arrays).alias("pos", "h"))
-    kd, i = _places(F.col("pos"), F.col("n_words"), sizes)
-    mark = documents.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit("").alias("text"), F.lit(0).cast("long").alias("sid"), F.lit(_MARK).cast("long").alias("h"))
-    listed = mark.unionByName(words_of)
-    # The mark of a document, or the very words of a shingle.
-    text = F.when(F.col("pos") == 0, F.lit("")).otherwise(F.array_join(F.slice("w", i + 1, F.greatest(kd, F.lit(1))), " "))
-    if n_shingles <= BROADCAST_ROWS:
-        met = each.join(F.broadcast(listed), "h").where((F.col("k") == kd) & (F.col("text") == text))
-    else:
-        met = each.select("uid", "doc_id", "th", "n_words", "pos", "h", text.alias("own")).join(listed.hint("merge"), "h").where((F.col("k") == kd) & (F.col("text") == F.col("own")))
-    return written(met.select("uid", "doc_id", "th", F.col("n_words").cast("long").alias("n_words"), "k", i.alias("i"), "sid"), "shingle-hits")
-
-
-def occurrences(hits: DataFrame, wins: DataFrame, n_shingles: int, seed: int) -> DataFrame:
-    """uid, item_id, start and len of each occurrence of a window."""
-    found = hits.where("k > 0")
-    rarity = written(found.groupBy("k", "sid").agg(F.count(F.lit(1)).alias("df")), "rarity")
-    small = n_shingles <= BROADCAST_ROWS
-    hinted = F.broadcast if small else (lambda df: df.hint("merge"))
-    sided = wins.select("item_id", "len", "k", F.transform("texts", _sid(seed)).alias("sids"))
-    distinct = sided.groupBy("len", "k", "sids").agg(F.collect_set("item_id").alias("items"))
-    ranked = distinct.select("len", "k", "sids", "items", F.posexplode("sids").alias("o", "sid")).join(hinted(rarity), ["k", "sid"], "left")
-    # The rarest shingle; a window with one that no document has cannot occur.
-    prefix = ranked.groupBy("len", "k", "sids").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sid", "o")).alias("p"), F.first("items").alias("items")).where("p.df > 0")
-    prefix = prefix.select("len", "k", "sids", "items", F.col("p.sid").alias("sid"), F.col("p.o").alias("o"), F.size("sids").alias("m"))
-    rows = found.groupBy("uid", "n_words", "k").agg(F.sort_array(F.collect_list(F.struct("i", "sid"))).alias("a"))
-    # Each hit with its neighbours, as many as a window's shingles reach on either side.
-    reach = WINDOW - SHINGLE
-    each = rows.select("uid", "n_words", "k", "a", F.posexplode("a").alias("at", "hit"))
-    low = F.greatest(F.col("at") - reach, F.lit(0))
-    each = each.select("uid", "n_words", "k", F.col("hit.i").alias("i"), F.col("hit.sid").alias("sid"), (F.col("at") - low).alias("here"), F.slice("a", low + 1, F.lit(2 * reach + 1)).alias("near"))
-    met = each.join(hinted(prefix), ["k", "sid"])
-    start, first = F.col("i") - F.col("o"), F.col("here") - F.col("o")
-    bounded = met.where((start >= 0) & (start + F.col("len") <= F.col("n_words")) & (first >= 0) & (first + F.col("m") <= F.size("near")))
-    own = F.slice("near", first + 1, F.col("m"))
-    exact = bounded.where((F.element_at(own, 1).getField("i") == start) & (F.element_at(own, -1).getField("i") == start + F.col("m") - 1) & (own.getField("sid") == F.col("sids")))
-    return exact.select("uid", start.alias("start"), "len", "items")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("len")), lambda s: F.slice("w", s + 1, F.col("len"))))
+    return w.select("item_id", "len", each.alias("words")).distinct()
+
+
+def distinct_windows(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows (wid, set_id, len, k, words, and hs, the hashes of their shingles of k words), and the members
+    (set_id, item_id) of their sets of items. Windows of the same items share a set, so that copies of an item are listed
+    once; sets are told apart by their sizes and two sums of hashes."""
+    wins = written(listed.select("len", "words").distinct().withColumn("wid", F.monotonically_increasing_id()), "distinct-windows")
+    owned = written(listed.join(wins, ["len", "words"]).select("wid", "item_id"), "window-items")
+    sums = [F.sum(F.xxhash64(F.lit(seed), "item_id").cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    signed = owned.groupBy("wid").agg(F.count(F.lit(1)).alias("size"), *sums)
+    same = written(signed.join(signed.groupBy("size", "s1", "s2").agg(F.min("wid").alias("set_id")), ["size", "s1", "s2"]).select("wid", "set_id"), "window-sets")
+    members = owned.where("item_id IS NOT NULL").join(same.where("wid = set_id"), "wid").select("set_id", "item_id")
+    wh = F.transform("words", lambda x: F.xxhash64(x))
+    wins = wins.join(same, "wid").select("*", F.least(F.lit(SHINGLE), F.col("len")).alias("k"), wh.alias("wh"))
+    hs = F.array().cast(_LONG)
+    for k in range(1, SHINGLE + 1):
+        hs = F.when(F.col("k") == k, _hashes(F.col("wh"), F.col("len"), k)).otherwise(hs)
+    return written(wins.select("wid", "set_id", "len", "k", "words", hs.alias("hs")), "windows"), members
+
+
+class Filter:
+    """Which hashes may be listed, as a literal that documents are tested with where they are read: each listed hash sets
+    two slots. However many hashes there are, it has at most 2 ** FILTER_BITS[1] slots, of a byte each; where it is full
+    it passes more, never less."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        """hashes: h."""
+        self.bits = min(max((32 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        slots = hashes.select(F.explode(F.array(*self.slots(F.col("h")))).alias("s"))
+        rows = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits")).collect()
+        spread = [bytes(b >> i & 1 for i in range(8)) for b in range(256)]
+        out = bytearray(1 << self.bits)
+        for r in rows:
+            out[64 * r.word : 64 * r.word + 64] = b"".join(spread[b] for b in (r.bits & (1 << 64) - 1).to_bytes(8, "little"))
+        self.literal = F.lit(bytes(out))
+
+    def slots(self, h: Column) -> list[Column]:
+        mask = F.lit((1 << self.bits) - 1)
+        return [h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 64 - self.bits).cast("int")]
+
+    def passes(self, h: Column) -> Column:
+        first, second = (F.substr(self.literal, s + 1, F.lit(1)) == F.lit(b"\x01") for s in self.slots(h))
+        return first & second
+
+
+def positions(documents: DataFrame, sizes: list[int], keep: Filter) -> DataFrame:
+    """doc_id, uid, th (text hash), n, w (words) and, for each size k of shingles, hs_k (their hashes) and at_k (the places
+    whose hash passes)."""
+    out = documents.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    out = out.select("*", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    out = out.select("*", *[_hashes(F.col("wh"), F.col("n"), k).alias(f"hs_{k}") for k in sizes]).drop("wh")
+    return out.select("*", *[F.array_compact(F.transform(f"hs_{k}", lambda h, i: F.when(keep.passes(h), i))).alias(f"at_{k}") for k in sizes])
+
+
+def places(sizes: list[int], around: bool) -> Column:
+    """From positions: the places that pass, as k, i and h; around: with lo and words, the words that any window of the
+    shingle may cover and where they begin."""
+
+    def of(k: int) -> Column:
+        place = lambda i: [F.lit(k).alias("k"), i.alias("i"), F.get(F.col(f"hs_{k}"), i).alias("h")]
+        return F.transform(f"at_{k}", lambda i: F.struct(*place(i), *(_around(i) if around else ())))
+
+    return F.concat(*map(of, sizes))
+
+
+def _around(i: Column) -> list[Column]:
+    lo = F.greatest(i - (WINDOW - 1), F.lit(0))
+    return [lo.alias("lo"), F.slice("w", lo + 1, i - lo + WINDOW).alias("words")]
+
+
+def prefixes(documents: DataFrame, wins: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """set_id, len, k, words, h and o: each window with its rarest shingle and its offset; written. A window with a shingle
+    that no document has cannot occur and is left out."""
+    shingles = written(wins.select("wid", "k", F.posexplode("hs").alias("o", "h")), "shingles")
+    n = shingles.select("h").distinct().count()
+    keep = Filter(shingles.select("h").distinct(), n)
+    held = positions(documents, sizes, keep).select(F.explode(places(sizes, False)).alias("p"))
+    counted = held.groupBy(F.col("p.h").alias("h")).agg(F.count(F.lit(1)).alias("df"))
+    listed = shingles.select("h").distinct()
+    rarity = written(counted.join(F.broadcast(listed) if n <= most else listed, "h", "left_semi"), "rarity")
+    rarest = shingles.join(F.broadcast(rarity) if n <= most else rarity, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "o")).alias("p"))
+    return written(wins.join(rarest.where("p.df > 0"), "wid").select("set_id", "len", "k", "words", F.col("p.h").alias("h"), F.col("p.o").alias("o")), "prefixes")
+
+
+def occurrences(rows: DataFrame, prefix: DataFrame) -> DataFrame:
+    """uid, start, len and set_id of each occurrence of a window. rows: uid, n and p, a place of `places` with its words."""
+    each = rows.select("uid", "n", F.col("p.k").alias("k"), F.col("p.i").alias("i"), F.col("p.h").alias("h"), F.col("p.lo").alias("lo"), F.col("p.words").alias("own"))
+    start = F.col("i") - F.col("o")
+    met = each.join(prefix, ["k", "h"]).where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    return met.where(F.slice("own", start - F.col("lo") + 1, F.col("len")) == F.col("words")).select("uid", start.alias("start"), "len", "set_id")
 
 
 def judge(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    wins = written(windows(benchmark), "windows")
-    listed, n_shingles, seed, sizes = dictionary(wins)
-    hits = shingle_hits(documents, listed, n_shingles, sizes)
-    spans = F.sort_array(F.collect_set(F.struct("start", "len")))
-    found = occurrences(hits, wins, n_shingles, seed).groupBy("uid").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    wins, members = distinct_windows(written(windows(benchmark), "item-windows"))
+    sizes = sorted(r.k for r in wins.select("k").distinct().collect()) or [SHINGLE]
+    prefix = prefixes(documents, wins, sizes, BROADCAST_ROWS)
+    n, size = prefix.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
+    small = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    found = positions(documents, sizes, Filter(prefix.select("h").distinct(), n))
+    found = found.select("doc_id", "uid", "th", "n", places(sizes, small).alias("at"), *([] if small else ["w"]))
+    docs = written(found, "positions")
+    if small:
+        rows, met = docs.select("uid", "n", F.explode("at").alias("p")), F.broadcast(prefix)
+    else:
+        hashed = docs.select("uid", F.explode("at").alias("p")).select("uid", "p.k", "p.i", "p.h")
+        counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(prefix.select("h").distinct(), "h", "left_semi")
+        hits = lookup_by_hot_key(hashed, counts, "h").groupBy("uid").agg(F.collect_list(F.struct("k", "i", "h")).alias("hits"))
+        placed = F.transform("hits", lambda p: F.struct(p["k"].alias("k"), p["i"].alias("i"), p["h"].alias("h"), *_around(p["i"])))
+        rows, met = docs.select("uid", "n", "w").join(hits, "uid").select("uid", "n", F.explode(placed).alias("p")), prefix.hint("merge")
+    hit = written(occurrences(rows, met), "occurrences")
+    spans = hit.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"))
     state = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("spans", state, lambda acc, s: F.struct(F.greatest(acc["end"], s["start"] + s["len"]).alias("end"), (acc["n"] + F.greatest(s["start"] + s["len"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("n")))
-    found = found.select("uid", covered["n"].alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
-    out = hits.where("k = 0").select("uid", "doc_id", "th", "n_words").join(found, "uid", "left")
+    listed = hit.select("uid", "set_id").distinct().join(members, "set_id").select("uid", F.col("item_id").cast("string").alias("item")).distinct()
+    listed = listed.groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = docs.select("uid", "doc_id", "th", F.col("n").cast("long").alias("n_words")).join(spans.select("uid", covered["n"].alias("n_hit")).join(listed, "uid", "left"), "uid", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "th", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))

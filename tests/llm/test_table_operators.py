@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -123,6 +124,31 @@ def test_contamination(spark, monkeypatch, broadcast):
     assert decontaminate.judge(df, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate.judge(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_contamination_of_a_very_long_text(spark, monkeypatch, broadcast):
+    """Hits at both ends and in runs that overlap, of a text of 200,000 words, within a bounded time."""
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = random.Random(9)
+    say = lambda n, k: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    items = [(1, say(40, 500)), (2, say(13, 500)), (3, " ".join(["na"] * 15))]
+    text = " ".join([items[0][1], say(120_000, 900), items[1][1], "na " * 5000, say(75_000, 900), items[0][1][:-1], items[0][1]])
+    df = spark.createDataFrame([(1, text), (2, items[1][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.monotonic()
+    got = decontaminate.judge(df, bench).drop("th").collect()
+    assert time.monotonic() - began < 90
+    assert sorted(map(tuple, got), key=repr) == plain_contamination([(1, text), (2, items[1][1])], items)
+
+
+def test_items_of_one_window_are_one_set(spark):
+    listed = spark.createDataFrame([(i, "one two three four five six") for i in range(50)] + [(99, "seven eight nine")], "item_id long, text string")
+    wins, members = decontaminate.distinct_windows(common.written(decontaminate.windows(listed), "test-windows"))
+    assert wins.count() == 2 and members.count() == 51
+    got = decontaminate.judge(spark.createDataFrame([(1, "x ONE two three four five six y seven eight nine")], "doc_id long, text string"), listed).first()
+    assert (got.n_hit, got.n_items) == (9, 51)
+
+
 def plain_print(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
