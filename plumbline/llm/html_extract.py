@@ -19,8 +19,9 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,61 +43,176 @@ IMPLIED_END = {"p": _BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd
 _WALLS = frozenset("html body table ul ol dl div section article aside nav main header footer form td th".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+_SPECIAL = re.compile("[>\"']")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LONG_NUMBER = re.compile("&#(?:[xX]0*([0-9a-fA-F]+)|0*([0-9]+));?")
+#: By the tag that starts: the open elements that it may end.
+_ENDED_BY: dict[str, tuple[str, ...]] = {t: tuple(k for k, ends in IMPLIED_END.items() if t in ends) for t in frozenset().union(*IMPLIED_END.values())}
+
+
+class Path:
+    """An open element and those around it. fresh: the features that it has and none around it."""
+
+    __slots__ = ("around", "fresh", "named", "near", "tag", "total")
+
+    def __init__(self, around: Path | None, tag: str, fresh: tuple[str, ...], near: str, named: bool):
+        self.around, self.tag, self.fresh, self.near, self.named = around, tag, fresh, near, named
+        self.total: float | None = None
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]  # ancestors from the outside; a tag, or a tag and its class, id and role words
+    path: Path | None
     linked: int  # characters in links
 
 
-def _node(tag: str, attributes: str) -> str:
+def _words(attributes: str) -> list[str]:
+    """Class, id and role words."""
     if "=" not in attributes:
-        return tag
-    words = [w for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1].lower())]
-    return " ".join([tag, *dict.fromkeys(words)])
+        return []
+    return list(dict.fromkeys(w for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1].lower())))
+
+
+def _unescaped(text: str) -> str:
+    """Character references decoded; a number beyond Unicode, however long, is U+FFFD."""
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: "\ufffd" if len(m[1] or m[2]) > 7 else m[0], text)
+    return entities.unescape(text)
+
+
+class _Tokens:
+    """Tags of a page in order, each in time that its own length bounds, taken over the page.
+
+    A tag ends at the first > outside quotes, or at the first > if there is none. The pattern finds most; once one is
+    not closed outside quotes, where each tag ends is looked up in a table that one pass from the end has made.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">") + 1  # no tag begins beyond
+        self.at: list[int] | None = None
+        self.ends: list[int] = []
+
+    def table(self) -> None:
+        found = [(m.start(), m[0]) for m in _SPECIAL.finditer(self.page)]
+        n = len(found)
+        ends, after = [-1] * (n + 1), {'"': -1, "'": -1}
+        for k in range(n - 1, -1, -1):
+            i, c = found[k]
+            if c == ">":
+                ends[k] = i
+            else:
+                ends[k] = ends[after[c] + 1] if after[c] >= 0 else -1
+                after[c] = k
+        self.at, self.ends = [i for i, _ in found], ends
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, str] | None:
+        """Start and end of the next tag or comment, its name (None for others), a slash if it is an end tag, attributes."""
+        page = self.page
+        if self.at is None:
+            m = _TOKEN.search(page, at, self.last)
+            if not m:
+                return self.open_comment(max(at, self.last))
+            if m[5] is None:
+                end = len(page) if m[0].startswith("<!--") and not (len(m[0]) > 6 and m[0].endswith("-->")) else m.end()
+                return m.start(), end, m[2], m[1] or "", m[3] or ""
+            self.table()
+            at = m.start()
+        while 0 <= (start := page.find("<", at)) < self.last:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), None, "", ""
+            if m := _START.match(page, start):
+                end = self.ends[bisect_left(self.at, m.end())] if m[2] else -1
+                end = end if end >= 0 else page.find(">", m.end())
+                if end >= 0:
+                    return start, end + 1, m[2], m[1] or "", page[m.end() : end]
+            at = start + 1
+        return self.open_comment(max(at, self.last))
+
+    def open_comment(self, at: int) -> tuple[int, int, None, str, str] | None:
+        start = self.page.find("<!--", at)
+        return None if start < 0 else (start, len(self.page), None, "", "")
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks that have text, in page order."""
     out: list[Block] = []
     tags: list[str] = []
-    path: list[str] = []
-    paths: tuple[str, ...] = ()
+    paths: list[Path] = []
+    nodes: list[tuple[str, ...]] = []  # features of each open element
+    seen: dict[str, int] = {}  # features of all of them
+    open_: dict[str, int] = {}
+    ending: dict[str, list[int]] = {k: [] for k in IMPLIED_END}  # places of the open elements that may be ended
+    walls: list[int] = []
     held: list[str] = []
     linked, link_depth, hidden = 0, 0, 0
-    at, search = 0, _TOKEN.search
+    at, tokens = 0, _Tokens(page)
+    known: dict[tuple[str, str], tuple[tuple[str, ...], bool]] = {}
 
     def close() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, paths, min(linked, len(text))))
+                out.append(Block(text, paths[-1] if paths else None, min(linked, len(text))))
             held.clear()
         linked = 0
 
+    def push(tag: str, attributes: str) -> None:
+        nonlocal hidden
+        found = known.get((tag, attributes))
+        if found is None:
+            words = _words(attributes)
+            found = known[(tag, attributes)] = (tuple(["t:" + tag, *("c:" + w for w in words)]), bool(words))
+        features, named = found
+        around = paths[-1] if paths else None
+        fresh = tuple(f for f in features if not seen.get(f))
+        near, near_named = (tag, named) if tag in _HOLDERS else (around.near, around.named) if around else ("none", False)
+        for f in features:
+            seen[f] = seen.get(f, 0) + 1
+        if tag in ending:
+            ending[tag].append(len(tags))
+        if tag in _WALLS:
+            walls.append(len(tags))
+        tags.append(tag)
+        nodes.append(features)
+        paths.append(Path(around, tag, fresh, near, near_named))
+        open_[tag] = open_.get(tag, 0) + 1
+        hidden += tag in HIDDEN
+
+    def pop() -> str:
+        nonlocal hidden
+        tag = tags.pop()
+        paths.pop()
+        for f in nodes.pop():
+            seen[f] -= 1
+        if tag in ending:
+            ending[tag].pop()
+        if tag in _WALLS:
+            walls.pop()
+        open_[tag] -= 1
+        hidden -= tag in HIDDEN
+        return tag
+
     while True:
-        m = search(page, at)
-        end = m.start() if m else len(page)
+        found = tokens.next(at)
+        end = found[0] if found else len(page)
         if end > at and not hidden:
             part = page[at:end]
             if "&" in part:
-                part = entities.unescape(part)
+                part = _unescaped(part)
             held.append(part)
             if link_depth:
                 linked += len(part)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        name = m[2] or m[5]
+        _, at, name, ends, attributes = found
         if name is None:
             continue
         tag = name.lower()
-        ends = m[1] or m[4]
         if tag in INLINE:
             if tag == "a":
                 link_depth = max(0, link_depth + (-1 if ends else 1))
@@ -112,29 +228,21 @@ def blocks(page: str) -> list[Block]:
             close()
             link_depth = 0
         if ends:
-            if tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
-                hidden -= sum(t in HIDDEN for t in tags[k:])
-                del tags[k:], path[k:]
-                paths = tuple(path)
+            if open_.get(tag):
+                while pop() != tag:
+                    pass
             continue
-        attributes = m[3] or m[6] or ""
         if tag in RAW:
-            found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = found.end() if found else len(page)
+            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = m.end() if m else len(page)
             continue
-        for k in range(len(tags) - 1, -1, -1):
-            if tag in IMPLIED_END.get(tags[k], ()):
-                hidden -= sum(t in HIDDEN for t in tags[k:])
-                del tags[k:], path[k:]
-                break
-            if tags[k] in _WALLS:
-                break
+        # The nearest open element that this one ends, if no wall is nearer.
+        k = max((ending[e][-1] for e in _ENDED_BY.get(tag, ()) if ending[e]), default=-1)
+        if k >= 0 and (not walls or walls[-1] <= k):
+            while len(tags) > k:
+                pop()
         if not attributes.endswith("/") or tag not in HIDDEN:
-            tags.append(tag)
-            path.append(_node(tag, attributes))
-            hidden += tag in HIDDEN
-            paths = tuple(path)
+            push(tag, attributes)
     close()
     return out
 
@@ -145,23 +253,25 @@ _HOLDERS = frozenset("article main section div aside nav header footer form body
 CUES = frozenset("cookie cookies copyright rights reserved subscribe newsletter advertisement sponsored login comments reply privacy consent".split())
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    found = set()
-    for node in path:
-        tag, *words = node.split(" ")
-        found.add("t:" + tag)
-        found.update("c:" + w for w in words)
-    found.add("own:" + (path[-1].split(" ")[0] if path else "none"))
-    # The nearest ancestor that holds several blocks says most.
-    near = next((node for node in reversed(path) if node.split(" ")[0] in _HOLDERS), "none")
-    found.update(["near:" + near.split(" ")[0], f"named:{' ' in near}"])
+def _last(path: Path | None) -> tuple[str, ...]:
+    """Features of the innermost element alone. The nearest ancestor that holds several blocks says most."""
+    if path is None:
+        return "own:none", "near:none", "named:False"
+    return "own:" + path.tag, "near:" + path.near, f"named:{path.named}"
+
+
+def path_features(path: Path | None) -> list[str]:
+    found = set(_last(path))
+    while path is not None:
+        found.update(path.fresh)
+        path = path.around
     return sorted(found)
 
 
 def text_features(b: Block) -> list[str]:
     n = len(b.text)
     found = ["bias", f"len:{min(n.bit_length(), 10)}", f"links:{round(4 * b.linked / n)}", "end:" + ("stop" if b.text[-1] in ".!?:;\"'”»…" else "word")]
-    if n < 400 and "©" in b.text:
+    if "©" in b.text:
         found.append("sign")
     if not CUES.isdisjoint(_WORD.findall(b.text.lower())):
         found.append("cue")
@@ -173,15 +283,18 @@ class Model:
     weights: dict[str, float]  # of a feature, for main over other
     first: float  # of a first block being main
     moves: list[list[float]]  # of a label after a label
-    known: dict[tuple[str, ...], float] = field(default_factory=dict, compare=False)
-
-    def path_score(self, path: tuple[str, ...]) -> float:
-        s = self.known.get(path)
-        if s is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            s = self.known[path] = sum(self.weights.get(f, 0.0) for f in path_features(path))
-        return s
+
+    def path_score(self, path: Path | None) -> float:
+        """Each element's score is kept with it, so a block costs only the elements that are new with it."""
+        get, up = self.weights.get, []
+        at = path
+        while at is not None and at.total is None:
+            up.append(at)
+            at = at.around
+        total = at.total if at is not None else 0.0
+        for p in reversed(up):
+            total = p.total = total + sum(get(f, 0.0) for f in p.fresh)
+        return total + sum(get(f, 0.0) for f in _last(path))
 
     def scores(self, page: list[Block]) -> list[float]:
         get = self.weights.get
