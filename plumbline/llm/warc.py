@@ -1,7 +1,7 @@
 """WARC archives, each compressed record by record with a Zstandard dictionary of its own.
 
 An archive is a skippable frame (magic 0x184D2A5D) that embeds the dictionary, then one frame per record. The dictionary is
-built from the archive's own records; an archive of too few or too small records has none. Archives are rows (name, data)
+trained on the archive's own records; where they are too few or too unlike to train on, it is their beginnings. Archives are rows (name, data)
 of a written table, so that any file system Spark reaches will do and an executor's loss costs no more than its tasks;
 `parse` reads one, whether it comes from the table or from a file.
 
@@ -58,19 +58,23 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes:
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Of the records: trained, or where the trainer finds too few of them or too little in common, their beginnings."""
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, records)) // 8))
+    try:
+        return zstandard.train_dictionary(size, records, k=512, d=8)
+    except zstandard.ZstdError:
+        share = max(256, size // len(records))
+        content = b"\n" + b"".join(r[:share] for r in records[: size // 256])  # never taken for a trained one
+        return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def archive(records: list[bytes]) -> bytes:
-    """The records as one archive."""
-    dictionary = None
-    if len(records) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, records)) // 8), records, k=512, d=8)
-        except zstandard.ZstdError:  # nothing in common, or too little of it
-            dictionary = None
-    out = []
-    if dictionary is not None:
-        packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary.as_bytes())
-        out.append(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
-    one = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
+    """The records, one at least, as one archive."""
+    own = dictionary(records)
+    packed = zstandard.ZstdCompressor(level=LEVEL).compress(own.as_bytes())
+    out = [struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed]
+    one = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=True)
     out += [one.compress(r) for r in records]
     return b"".join(out)
 
