@@ -59,7 +59,9 @@ def op9_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return toxicity.score(documents, toxicity.train(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", 3, 1, TOXIC_ROWS)))
+    found = toxicity.score(documents, toxicity.train(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", 3, 1, TOXIC_ROWS)))
+    places = F.transform("sentences", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_offending"), F.concat_ws(",", places).alias("offending"))
 
 
 QUERIES = {f.__name__: f for f in (op1_skip_chain_pii, op2_bloom_cascade, op3_warc_dictionary, op4_subword_quality, op5_bpe_transducer, op6_prefix_decontamination, op7_vantage_simhash, op8_wav_fingerprint, op9_crf_main_text, op10_noisy_or_toxicity)}

@@ -2,17 +2,18 @@
 
 A document is a bag of sentences. A sentence's probability is the logistic of a bias and the weights of its distinct
 words, each the sum of the weights of the word and of its beginnings of 4 and 6 letters (hashed); the document's is their noisy-or, 1 - prod(1 - p). Only documents have labels; the gradient of the
-document's loss shares each label out among its sentences, so that the sentences which explain it are learned, and
-`locate` names them afterwards.
+document's loss shares each label out among its sentences, so that the sentences which explain it are learned; scoring
+names those that are likely by themselves.
 
 Training is numpy gradient descent (Adagrad with an L1 proximal step) on a bounded sample of labelled documents. A weight
 needs evidence of `least` documents. Scoring keeps the words of non-zero weight only.
 
-Defined results: a null or empty text has no sentences and scores 0.0 (predicted 0). Ties and repeated rows score alike.
+Defined results: a null or empty text has no sentences, scores 0.0 (predicted 0) and has no offending ones. Ties and repeated rows score alike.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,10 @@ def sentence_words(text: str) -> list[set[str]]:
     return [w for s in _SPLIT.split(text.lower()) if (w := set(_WORD.findall(s)))]
 
 
+def _logistic(z: float) -> float:
+    return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+
 @dataclass
 class Model:
     bias: float
@@ -72,22 +77,28 @@ class Model:
 
     def score(self, text: str) -> float:
         """Noisy-or of the sentences."""
+        return self.judge(text)[0]
+
+    def judge(self, text: str, at_least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+        """The document's probability, and its offending sentences."""
         clean = np.logaddexp(0.0, self.bias)
-        log_none, plain = 0.0, 0
+        log_none, plain, most = 0.0, 0, -np.inf
         for words in sentence_words(text):
             z = self.logit(words)
+            most = max(most, z)
             if z == self.bias:
                 plain += 1
             else:
                 log_none -= float(np.logaddexp(0.0, z))
-        return float(-np.expm1(log_none - plain * clean)) + 0.0
+        p = float(-np.expm1(log_none - plain * clean)) + 0.0
+        return p, self.locate(text, at_least) if _logistic(most) >= at_least else []
 
     def locate(self, text: str, at_least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the offending sentences; code points, end exclusive."""
         out = []
         for m in _SENTENCE.finditer(text):
             words = set(_WORD.findall(m[0].lower()))
-            if words and (p := 1 / (1 + np.exp(-self.logit(words)))) >= at_least:
+            if words and (p := _logistic(self.logit(words))) >= at_least:
                 lead = len(m[0]) - len(m[0].lstrip())
                 out.append((m.start() + lead, m.end(), float(p)))
         return out
@@ -155,17 +166,19 @@ def train(rows: list[tuple[str, int]], least: int = 8, rounds: int = 120, l1: fl
     return Model(bias, {int(b): float(w) for b, w in zip(names, theta, strict=True) if abs(w) > 1e-3})
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-SCORES_DDL = "doc_id long, held_out boolean, score double, predicted int"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("sentences", _SPANS)])
+SCORES_DDL = "doc_id long, held_out boolean, score double, predicted int, sentences array<struct<start: long, end: long, probability: double>>"
 
 
-def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: int = 3, held_out: int = 1) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document; no shuffle. A null id is not held out."""
+def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: int = 3, held_out: int = 1, at_least: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted and the offending sentences of every document, which are those of a probability
+    of `at_least` (code points, end exclusive, in order); no shuffle. A null id is not held out."""
 
     def rows(given: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in given:
-            p = model.score(text) if text else 0.0
-            yield doc_id, remainder_of(doc_id, modulus) == held_out, p, int(p >= threshold)
+            p, found = model.judge(text, at_least) if text else (0.0, [])
+            yield doc_id, remainder_of(doc_id, modulus) == held_out, p, int(p >= threshold), [{"start": s, "end": e, "probability": q} for s, e, q in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -173,21 +186,3 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, modulus: i
             yield from in_batches(rows(text_rows(batches)), SCORES)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCORES_DDL)
-
-
-SPANS = pa.schema([("doc_id", pa.int64()), ("sentences", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))])
-
-
-def offending(documents: DataFrame, model: Model, at_least: float = 0.5) -> DataFrame:
-    """doc_id and the offending sentences of every document."""
-
-    def rows(given: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in given:
-            yield doc_id, [{"start": s, "end": e, "probability": p} for s, e, p in model.locate(text or "", at_least)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        with no_cycles():
-            yield from in_batches(rows(text_rows(batches)), SPANS)
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, sentences array<struct<start: long, end: long, probability: double>>")
