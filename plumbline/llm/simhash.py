@@ -13,10 +13,12 @@ Two fingerprints link if they differ in at most RADIUS bits. Finding the links t
    out are links to the smallest member of each of the shard's components: no more than one for each fingerprint.
 3. Components of those links, by alternating large-star and small-star rounds until nothing changes.
 
-Copies cost nothing after their fingerprints are counted. A dense cluster, such as a third of all rows being near copies,
-fills one shard of most trees. Hot shards (fewer than HOT, see below) are not sent to one task: about HUBS of their points
-become hubs, which every task compares its own points with; only points outside the hubs' main component are then compared
-with the rest of the shard, in pairs of chunks of at most CHUNK.
+Copies cost nothing after their fingerprints are counted. A shard of more than LARGE points, at any size of the input, is
+not sent to one task. About HUBS of its points become hubs, which every task compares its own points with; only points
+outside the hubs' main component are then compared with the rest of the shard, in pairs of chunks of at most CHUNK. So a
+dense cluster, such as a third of all rows being near copies, costs one pass. Where more than FEW chunks are left, the
+shard is no cluster: its points are sharded again by further vantage points, on the bits that its tree leaves free, cut
+into RADIUS + 1 blocks as before. After LEVELS of that so few bits are free that no crowd of unlike points is left.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero and link as any other. Null ids take
 part, but a component's id is its smallest non-null one, or null. Repeated rows are rows of one component.
@@ -25,12 +27,13 @@ part, but a component's id is its smallest non-null one, or null. Repeated rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import HOT, in_batches, lookup_by_hot_key, release, text_rows, written
@@ -40,9 +43,14 @@ SHINGLE = 4
 SEED = 42
 #: Vantage points of each tree's top.
 VANTAGES = 8
-#: A shard of more points than this, and of more than 1/HOT of all, is hot.
+#: A shard of more points than this is split.
+LARGE = 1 << 14
 CHUNK = 2048
 HUBS = 64
+#: Chunks outside the hubs' main component that are compared with the whole of a large shard.
+FEW = 4
+#: How often large shards are sharded again.
+LEVELS = 3
 #: Sets of no more points than this are compared directly.
 LEAF = 48
 
@@ -93,20 +101,37 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _shard(mask: Column, vantages: np.ndarray) -> Column:
+    """The distances to the vantage points on the mask's bits, packed."""
+    shard = F.lit(0).cast("long")
+    for v in vantages:
+        shell = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(v)))).bitwiseAND(mask)).cast("long")
+        shard = F.shiftleft(shard, 7).bitwiseOR(shell)
+    return shard
+
+
 def sharded(fps: DataFrame, masks: list[int]) -> DataFrame:
     """fp, tree and shard: the distances on the tree's bits to its vantage points, packed."""
     rng = np.random.default_rng(20)
-    options = []
-    for k, mask in enumerate(masks):
-        points = [signed(int(v)) for v in rng.integers(0, 1 << 64, VANTAGES, np.uint64)]
-        shells = (F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(signed(mask)))).cast("long") for v in points)
-        shard = F.lit(0).cast("long")
-        for s in shells:
-            shard = F.shiftleft(shard, 7).bitwiseOR(s)
-        options.append(F.struct(F.lit(k).alias("tree"), shard.alias("shard")))
+    options = [F.struct(F.lit(k).alias("tree"), _shard(F.lit(signed(mask)), rng.integers(0, 1 << 64, VANTAGES, np.uint64)).alias("shard")) for k, mask in enumerate(masks)]
     return fps.select("fp", F.inline(F.array(*options)))
 
 
+def finer(points: DataFrame, masks: list[int]) -> tuple[DataFrame, list[int]]:
+    """points (tree, shard, fp) sharded again, RADIUS + 1 shards for each, by a block of the bits that their tree leaves
+    free; and the masks of the new trees. Points that were in different shards stay apart."""
+    blocks = RADIUS + 1
+    free = [[b for b in range(64) if not mask >> b & 1] for mask in masks]
+    cut = [[sum(1 << b for b in bits[len(bits) * j // blocks : len(bits) * (j + 1) // blocks]) for j in range(blocks)] for bits in free]
+    rng = np.random.default_rng(21)
+    options = []
+    for j in range(blocks):
+        own = F.get(F.array(*[F.lit(signed(c[j])) for c in cut]), F.col("tree"))
+        inner = _shard(own, rng.integers(0, 1 << 64, VANTAGES, np.uint64))
+        options.append(F.struct((F.col("tree") * blocks + j).alias("tree"), F.xxhash64("shard", inner).alias("shard")))
+    return points.select("fp", F.inline(F.array(*options))), [mask | c for mask, own in zip(masks, cut, strict=True) for c in own]
+
+
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage)
 
@@ -249,10 +274,12 @@ def cold_links(points: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
-    """Links within hot shards, of points (tree, shard, fp); hot: tree, shard and n, fewer than HOT rows."""
-    near = points.join(F.broadcast(hot), ["tree", "shard"])
-    # About HUBS points of each hot shard, by a hash: no more than HOT * HUBS in all, give or take their root.
+def large_links(points: DataFrame, large: DataFrame, most: int | None) -> tuple[list[DataFrame], DataFrame]:
+    """Links within large shards, of points (tree, shard, fp), and the large shards (tree, shard) that are yet to be
+    searched: those with more than `most` chunks outside the hubs' main component. large: tree, shard and n, a row each;
+    about HOT of them."""
+    near = points.join(F.broadcast(large), ["tree", "shard"])
+    # About HUBS points of each large shard, by a hash: no more than HOT * HUBS in all, give or take their root.
     share = F.pmod(F.xxhash64("fp", "tree"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = near.where(share < F.lit(float(HUBS)) / F.col("n")).select("tree", "shard", "fp").collect()
     hubs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -268,6 +295,7 @@ def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+
         def rows() -> Iterator[tuple]:
             for tree, shard, fp, n in text_rows(batches):
                 x, component = hubs.get((tree, shard), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
@@ -276,14 +304,15 @@ def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
 
         yield from in_batches(rows(), schema)
 
-    seen = written(near.select("tree", "shard", "fp", "n").mapInArrow(run, "tree int, shard long, fp long, n long, hubs array<long>"), "hot-points")
+    seen = written(near.select("tree", "shard", "fp", "n").mapInArrow(run, "tree int, shard long, fp long, n long, hubs array<long>"), "large-points")
     to_hubs = seen.select(F.col("fp").alias("a"), F.explode("hubs").alias("b")).where("a <> b")
     between = [(int(f), int(c)) for x, component in hubs.values() for f, c in zip(x.view(np.int64), component, strict=True) if f != c]
     counts = seen.where(F.size("hubs") > 0).groupBy("tree", "shard", F.element_at("hubs", 1).alias("hub")).count()
     main = counts.groupBy("tree", "shard").agg(F.max(F.struct("count", "hub")).getField("hub").alias("main"))
     seen = seen.join(F.broadcast(main), ["tree", "shard"], "left").withColumn("rest", ~F.coalesce(F.array_contains("hubs", F.col("main")), F.lit(False)))
-    sizes = seen.groupBy("tree", "shard").agg(F.ceil(F.sum(F.col("rest").cast("long")) / CHUNK).alias("rest_chunks"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    seen = seen.join(F.broadcast(sizes), ["tree", "shard"]).where("rest_chunks > 0").withColumn("h", F.xxhash64("fp"))
+    sizes = written(seen.groupBy("tree", "shard").agg(F.ceil(F.sum(F.col("rest").cast("long")) / CHUNK).alias("rest_chunks"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "large-sizes")
+    again = sizes.where(F.lit(False) if most is None else F.col("rest_chunks") > most).select("tree", "shard")
+    seen = seen.join(F.broadcast(sizes.join(again, ["tree", "shard"], "left_anti")), ["tree", "shard"]).where("rest_chunks > 0").withColumn("h", F.xxhash64("fp"))
     # Each chunk of the rest meets each chunk of the whole shard.
     rest = seen.where("rest").select("tree", "shard", F.pmod("h", "rest_chunks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("j"), "fp", F.lit(1).alias("role"))
     whole = seen.select("tree", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_chunks") - 1)).alias("i"), F.pmod("h", "chunks").alias("j"), "fp", F.when(F.col("rest"), 0).otherwise(2).alias("role"))
@@ -292,6 +321,7 @@ def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for g in _groups(batches, 4):
                 role = g[5]
@@ -304,22 +334,33 @@ def hot_links(points: DataFrame, hot: DataFrame) -> list[DataFrame]:
     out = [to_hubs, pairs.select(*keys, "fp", "role").mapInArrow(cross, "a long, b long")]
     if between:
         out.append(points.sparkSession.createDataFrame(between, "a long, b long"))
-    return out
+    return out, again
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) with a > b: distinct links whose components are those of all links within RADIUS. fps: distinct fp."""
-    n = fps.count()
-    points = sharded(fps, trees(n))
-    sizes = points.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n"))
-    hot = written(sizes.where(F.col("n") > max(CHUNK, len(trees(n)) * n // HOT)), "hot-shards")
+    masks = trees(fps.count())
+    points = sharded(fps, masks)
     parts = []
-    if not hot.isEmpty():
-        parts = hot_links(points, hot)
-        points = points.join(F.broadcast(hot.select("tree", "shard")), ["tree", "shard"], "left_anti")
-    out = cold_links(points)
-    for p in parts:
-        out = out.unionByName(p)
+    for level in range(LEVELS + 1):
+        large = written(points.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE), "large-shards")
+        n = large.count()
+        if not n:
+            parts.append(cold_links(points))
+            break
+        # Large shards hold LARGE points each, so there are few to the points; beyond HOT they are taken in turns.
+        parts.append(cold_links(points.join(F.broadcast(large) if n <= HOT else large, ["tree", "shard"], "left_anti")))
+        turns = -(-n // HOT)
+        left = []
+        for turn in range(turns):
+            found, again = large_links(points, large.where(F.pmod(F.xxhash64("tree", "shard"), F.lit(turns)) == turn), FEW if level < LEVELS else None)
+            parts += found
+            left.append(again)
+        again = reduce(DataFrame.unionByName, left)
+        if level == LEVELS or again.isEmpty():
+            break
+        points, masks = finer(points.join(F.broadcast(again) if n <= HOT else again, ["tree", "shard"], "left_semi"), masks)
+    out = reduce(DataFrame.unionByName, parts)
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

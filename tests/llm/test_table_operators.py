@@ -193,8 +193,9 @@ def test_simhash_is_the_plain_one(spark, documents, odd):
 @pytest.mark.parametrize("hot", [False, True])
 def test_components_of_dense_clusters(spark, monkeypatch, hot):
     if hot:
+        monkeypatch.setattr(simhash, "LARGE", 64)
         monkeypatch.setattr(simhash, "CHUNK", 64)
-        monkeypatch.setattr(simhash, "HOT", 50)
+        monkeypatch.setattr(simhash, "HOT", 20)
         monkeypatch.setattr(simhash, "HUBS", 8)
         monkeypatch.setattr(common, "HOT", 20)
     rng = np.random.default_rng(8)
@@ -212,6 +213,47 @@ def test_components_of_dense_clusters(spark, monkeypatch, hot):
     assert {r.doc_id: r.component_id for r in simhash.components(df).collect()} == dict(enumerate(want))
 
 
+def test_a_large_shard_that_is_no_cluster(spark, monkeypatch):
+    """50,000 unlike points that share their first 13 bits, so that one shard holds them all, and 400 that have a partner:
+    the shard is split, not compared as pairs."""
+    monkeypatch.setattr(simhash, "LARGE", 4096)
+    rng = np.random.default_rng(12)
+    points = rng.integers(0, 1 << 51, 50_000, np.uint64) << np.uint64(13)
+    near = points[:400].copy()
+    for k in range(len(near)):
+        for b in rng.choice(np.arange(13, 64), 1 + k % 4, replace=False):
+            near[k] ^= np.uint64(1) << np.uint64(int(b))
+    whole = np.unique(np.concatenate([points, near]))
+    df = spark.createDataFrame([(int(x),) for x in whole.view(np.int64)], "fp long")
+    compared = []
+    direct = simhash.large_links
+    monkeypatch.setattr(simhash, "large_links", lambda p, large, most: compared.append((large.count(), most)) or direct(p, large, most))
+    got = {(r.a, r.b) for r in simhash.links(df).collect()}
+    want = set()
+    for a in (points[:400], near):
+        for x in a:
+            for y in whole[np.bitwise_count(whole ^ x) <= 4]:
+                if x != y:
+                    i, j = int(x.view(np.int64)), int(y.view(np.int64))
+                    want.add((max(i, j), min(i, j)))
+    assert compared and all(most is not None for _, most in compared)
+    parent = {}
+    for links in (got, want):
+        up = {}
+        for a, b in sorted(links):
+            up.setdefault(a, a), up.setdefault(b, b)
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+        for a, b in sorted(links):
+            ra, rb = root(a), root(b)
+            up[max(ra, rb)] = min(ra, rb)
+        parent[len(parent)] = {x: root(x) for x in up}
+    assert all(parent[0].get(x) == r for x, r in parent[1].items())
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 or parent[0][a] == parent[0][b] for a, b in got)
+
+
 def test_blocks_and_extraction(spark):
     model = html_extract.train(html_extract.labelled_pages(300))
     page = "<html><head><title>t</title><script>'</p>'</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A &amp; B</h1><p>One\n two<br>three.<p>Four <b>bold.</p><div class=ad>Buy now.</div><p>Five.</article><!-- <p>no --><footer>&copy; x</footer>"
