@@ -36,17 +36,25 @@ _SCOPES: list[list[str]] = []
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and lost executors lose nothing. It stays until the
     `scratch` around it ends, or for good."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
+    return _kept(df, path)
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """As `written`, but no `scratch` removes it."""
+    return _kept(df, f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}")
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables that were written within, once they have served; what is to stay is written outside."""
+    """Removes the tables that were written within, once they have served."""
     _SCOPES.append([])
     try:
         yield

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import html.parser
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import time
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import common, decontaminate, html_extract, queries, simhash, url_filter, warc
@@ -69,6 +71,12 @@ def test_warc(spark):
     assert any(d[:4] == b"\x5d\x2a\x4d\x18" for d in data)
     payloads = {x[0]: x[5] for d in data for x in warc.parse(d) if x[3] == "response"}
     assert payloads[5] == ("é" * 200_000).encode() and payloads[150].startswith(b"<p>record 50")
+    assert all(d[:4] == b"\x5d\x2a\x4d\x18" for d in data)
+    few = df.where("page_id IN (1, 3, 4, 7)")
+    small = [bytes(a.data) for a in warc.write(few.coalesce(1)).collect()]
+    assert small and all(d[:4] == b"\x5d\x2a\x4d\x18" for d in small) and warc.read(warc.write(few)).count() == 4
+    short = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df, least=5)).collect()}
+    assert short[1] == short[7] == short[4] == ("response", None) and all(t == "response" for t, _ in short.values())
     assert warc.read(warc.write(df.limit(0))).count() == 0
     with pytest.raises(Exception):  # noqa: B017
         list(warc.frames(data[0][:-3]))
@@ -291,6 +299,102 @@ def test_viterbi_is_the_best_of_all():
         assert value(tuple(model.decode(page))) == pytest.approx(value(best))
 
 
+def test_gradient_of_the_field_is_that_of_its_likelihood():
+    """One step of training on one page against differences of the log-likelihood over all labellings."""
+    import itertools
+
+    page, labels = next((p[:6], y[:6]) for p, y in html_extract.labelled_pages(80) if 0 < sum(y[:6]) < len(y[:6]) - 1)
+    rows = [html_extract.path_features(b.path) + html_extract.text_features(b) for b in page]
+
+    def likelihood(weights, first, moves):
+        score = lambda y: sum(sum(weights.get(f, 0.0) for f in r) for r, k in zip(rows, y, strict=True) if k) + y[0] * first + sum(moves[a][b] for a, b in itertools.pairwise(y))
+        every = [score(y) for y in itertools.product((0, 1), repeat=len(rows))]
+        return score(labels) - float(np.logaddexp.reduce(every))
+
+    # Adagrad's first step is rate * gradient / sqrt(1e-6 + gradient ** 2): its sign, and size where the gradient is large.
+    step = html_extract.train([(page, labels)], epochs=1, rate=1.0)
+    zero, h = {}, 1e-5
+    for f in sorted({f for r in rows for f in r}):
+        slope = (likelihood({f: h}, 0, [[0, 0], [0, 0]]) - likelihood({f: -h}, 0, [[0, 0], [0, 0]])) / (2 * h)
+        assert step.weights[f] == pytest.approx(slope / np.sqrt(1e-6 + slope**2), abs=1e-3), f
+    slope = (likelihood(zero, h, [[0, 0], [0, 0]]) - likelihood(zero, -h, [[0, 0], [0, 0]])) / (2 * h)
+    assert step.first == pytest.approx(slope / np.sqrt(1e-6 + slope**2), abs=1e-3)
+    for a, b in itertools.product((0, 1), repeat=2):
+        shift = lambda d: [[d * ((i, j) == (a, b)) for j in (0, 1)] for i in (0, 1)]  # noqa: B023, E731
+        slope = (likelihood(zero, 0, shift(h)) - likelihood(zero, 0, shift(-h))) / (2 * h)
+        assert step.moves[a][b] == pytest.approx(slope / np.sqrt(1e-6 + slope**2), abs=1e-3)
+
+
+class PlainBlocks(html.parser.HTMLParser):
+    """Blocks of well-formed markup: text between tags that are not inline, with the tags around it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.found, self.held = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        if text and not any(t in html_extract.HIDDEN for t in self.stack):
+            self.found.append((text, tuple(self.stack)))
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.INLINE:
+            return
+        if tag == "br":
+            self.held.append(" ")
+            return
+        self.flush()
+        if tag not in html_extract.VOID:
+            self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in html_extract.INLINE:
+            self.flush()
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.held.append(data)
+
+
+def test_blocks_are_those_of_another_parser():
+    rng = random.Random(11)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(0, 4)):
+            k = rng.random()
+            if k < 0.4 or depth > 6:
+                out.append(rng.choice(("word", " two words ", "a &amp; b", "&#233;&eacute;", "<b>bold</b>", "<a href='x>y'>link</a>", "<br>", "x<!-- <p>gone</p> -->y", "<em title=\"a > b\">e</em>", "\n")))
+            else:
+                t = rng.choice("div section ul blockquote article svg h2 center pre".split())
+                out.append(f"<{t} class='c{rng.randint(0, 3)}'>{tree(depth + 1)}</{t}>")
+        return "".join(out)
+
+    for _ in range(1500):
+        page = tree(0)
+        plain = PlainBlocks()
+        plain.feed(page)
+        plain.close()
+        plain.flush()
+        got = []
+        for b in html_extract.blocks(page):
+            at, around = b.path, []
+            while at is not None:
+                around.append(at.tag)
+                at = at.around
+            got.append((b.text, tuple(reversed(around))))
+        assert got == plain.found, page
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<center>x", "<a ", '<a ">" ', "<p>x</x>", "<div class=a>x<p>", "<li>x<ul>", "<!--", "<x '", "&#" + "9" * 60])
+def test_markup_of_any_kind_takes_linear_time(piece):
+    model = html_extract.Model({}, 0.0, [[0.0, 0.0], [0.0, 0.0]])
+    began = time.process_time()
+    model.extract(piece * 40_000)
+    assert time.process_time() - began < 4
+
+
 def test_pages_of_the_tables(spark):
     rows = queries.op9_crf_main_text(spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
@@ -309,3 +413,55 @@ def test_pipeline(spark):
         docs = common.written(stage(spark, docs, SF), "test-stage")
         assert docs.columns == columns
     assert 0 < corpus_pipeline.run(spark, SF).count() == docs.count() < 200
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Null, empty, repeated and very long texts, a null id, and columns whose names stages use inside."""
+    for clash in ("fp", "uid", "th", "w", "at", "n"):
+        docs = odd.select("doc_id", "text", F.lit("x").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(3).alias(clash))
+        for name, stage in corpus_pipeline.STAGES[: 4 if clash == "fp" else 3]:
+            if clash != "fp" and name == "quality classifier":
+                continue
+            docs = common.written(stage(spark, docs, SF), "odd-stage")
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", clash] and all(r[clash] == 3 for r in docs.collect())
+    dedup = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, odd, SF).collect()
+    assert sorted((r.doc_id for r in dedup), key=repr) == [1, 4, 5, 6, 7, 8, None]
+    tokens = dict(corpus_pipeline.STAGES)["byte-level BPE"](spark, odd, SF)
+    assert tokens.count() == odd.count()
+
+
+def test_stages_on_nothing(spark, tmp_path):
+    """Every table empty: every stage gives no rows and fails nowhere."""
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    before = spark.range(5)
+    with common.scratch(spark):
+        inner = common.written(before, "gone")
+        path = inner.inputFiles()[0]
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not fs.exists(jvm)
+    stays = common.written(before, "stays")
+    assert stays.count() == 5
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())

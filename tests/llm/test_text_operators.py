@@ -148,6 +148,126 @@ def test_noisy_or_is_the_product():
     assert m.score("bad. fine. ok!") == pytest.approx(1 - (1 - p[0]) * (1 - p[1]) * (1 - p[2]))
 
 
+def test_offending_sentences_are_those_of_the_plain_reading(spark, odd):
+    """Sentence by sentence, character by character, against the operator's column."""
+    rng = random.Random(7)
+    m = toxicity.Model(-3.0, {toxicity.buckets(w)[0]: v for w, v in (("idiot", 5.0), ("bad", 2.0), ("kind", -4.0), ("fool", 3.1))})
+    texts = ["".join(rng.choice(("idiot", "bad", "kind", "fool", "İx", " ", " ", "\n", ".", "!", "?", "é")) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", "idiot " * 30_000 + "."]
+    want = {}
+    for i, text in enumerate(texts):
+        found, start = [], 0
+        for end in range(1, len(text or "") + 1):
+            if text[end - 1] in ".!?\n" or end == len(text):
+                body = text[start:end]
+                found_words = {w for w in re.findall(r"\w+", body.lower())}
+                p = 1 / (1 + np.exp(-(m.bias + sum(m.weights.get(b, 0.0) for w in found_words for b in toxicity.buckets(w)))))
+                if found_words and p >= 0.5:
+                    found.append((start + len(body) - len(body.lstrip()), end, pytest.approx(p)))
+                start = end
+        want[i] = found
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, sentences string")
+    rows = toxicity.score(df, m).collect()
+    assert len(rows) == len(texts) and any(want.values())
+    for r in rows:
+        assert [tuple(x) for x in r.sentences] == want[r.doc_id]
+    assert all(r.sentences == [] for r in toxicity.score(odd, m).collect() if r.doc_id in (1, 2, 3))
+
+
+def test_quality_margins_are_averaged_vectors_and_softmax(spark):
+    """Vectors averaged for each document, then the softmax of the output rows."""
+    rows = [("clean plain words of a text", 1), ("BUY!!! now now now !!", 0), ("another plain text", 1), ("cheap cheap offer !!", 0)] * 4
+    model = quality.train(rows)
+    rng = np.random.default_rng(3)
+    vectors, output = rng.normal(size=(quality.BUCKETS, 8)).astype(np.float32), rng.normal(size=(2, 8)).astype(np.float32)
+    plain = quality.Model((vectors @ (output[1] - output[0])).astype(np.float32))
+    for text in ("", "one", "one two two two", "a " * 50 + "é" * 300, "clean plain words", "x" * 9000):
+        words = text.split()
+        buckets = [quality._DOCUMENT] + [b for w in words for b in quality.word_buckets(w)] + [quality._REPEAT] * (8 * sum(a == b for a, b in zip(words, words[1:], strict=False)))
+        z = output @ vectors[buckets].astype(np.float64).mean(axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert plain.score(text) == pytest.approx(p[1], abs=1e-5)
+    assert model.score("plain words") > 0.5 > model.score("BUY!!! now now")
+
+
+def test_messages_on_a_loop_are_those_of_plain_loops():
+    """A cycle of chain and skip edges: sum-product written out edge by edge, and labels that agree with the exact ones."""
+    rng = np.random.default_rng(5)
+    model = pii.Model(rng.normal(size=(pii.BUCKETS, 5)), 0.6 * rng.normal(size=(2, 5, 5)))
+    edges = [(0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 1), (1, 3, 1)]
+    g = pii.Graph([(9 * i, 9 * i + 4) for i in range(4)], [set(), {"card"}, set(), set()], [[1, 7], [2], [3], [4]], edges)
+    unary = np.array([model.node[b].sum(axis=0) for b in g.buckets])
+    unary[1, pii.LABELS.index("card")] += 8
+    messages = {(i, j): np.ones(5) / 5 for a, b, _ in edges for i, j in ((a, b), (b, a))}
+    pot = {(i, j): np.exp(model.edge[k] if (i, j) == (a, b) else model.edge[k].T) for a, b, k in edges for i, j in ((a, b), (b, a))}
+    for _ in range(2000):
+        new = {}
+        for i, j in messages:
+            into = np.exp(unary[i])
+            for (x, y), m in messages.items():
+                if y == i and x != j:
+                    into = into * m
+            new[i, j] = into @ pot[i, j]
+            new[i, j] /= new[i, j].sum()
+        messages = {e: 0.5 * messages[e] + 0.5 * new[e] for e in messages}
+    want = []
+    for i in range(4):
+        b = np.exp(unary[i])
+        for (_, y), m in messages.items():
+            if y == i:
+                b = b * m
+        want.append(b / b.sum())
+    got = pii.marginals(g, model)
+    assert np.allclose(got, want, atol=1e-5)
+    joint = np.zeros((5,) * 4)
+    for y in np.ndindex(*joint.shape):
+        joint[y] = sum(unary[i, y[i]] for i in range(4)) + sum(model.edge[k][y[a], y[b]] for a, b, k in edges)
+    joint = np.exp(joint - joint.max())
+    exact = [joint.sum(axis=tuple(k for k in range(4) if k != i)) / joint.sum() for i in range(4)]
+    assert [int(e.argmax()) for e in exact] == [int(b.argmax()) for b in got]
+
+
+def test_filters_of_stages_on_odd_rows(odd, nothing, field):
+    """redact and keep on null, empty, repeated and very long texts."""
+    rows = pii.redact(odd, field).collect()
+    by = {r.doc_id: r.text for r in rows}
+    assert len(rows) == odd.count() and by[1] is None and by[2] == "" and by[3] == " \n\t" and "<EMAIL>" in by[None] and by[7].startswith("Call <PHONE> now, or <CARD>") and by[5].endswith("<IP>") and len(by[5]) == 30_005
+    assert [r.text for r in rows if r.doc_id == 4] == ["one two three four five"] * 2 and pii.redact(nothing, field).count() == 0
+    m = quality.train([("one two three four five", 1), ("x x x x", 0)] * 10)
+    kept = quality.keep(odd, m, 0.5).collect()
+    assert sum(r.doc_id == 4 for r in kept) == 2 and not any(r.doc_id == 6 for r in kept) and quality.keep(nothing, m).count() == 0
+
+
+def plain_peaks(samples):
+    """Frame by frame and bin by bin, by the transform's definition."""
+    x = [b - 128.0 for b in samples]
+    out, start, frame = [], 0, 0
+    n = media.FRAME
+    k = np.arange(n)
+    while frame == 0 or start + n - media.HOP < len(x):
+        part = (x[start : start + n] + [127.0] * n)[:n]
+        part = np.array(part) - np.mean(part)
+        part = part * (0.5 - 0.5 * np.cos(2 * np.pi * k / (n - 1)))
+        power = [abs(np.sum(part * np.exp(-2j * np.pi * b * k / n))) for b in range(n // 2 + 1)]
+        floor = np.mean(power[media.BANDS[0] : media.BANDS[-1]]) + 1e-3
+        for low, high in zip(media.BANDS, media.BANDS[1:], strict=False):
+            best = max(range(low, high), key=lambda b: (power[b], -b))
+            if power[best] > 1.5 * floor and power[best] >= power[best - 1] and power[best] >= power[best + 1]:
+                out.append((frame, best))
+        start, frame = start + media.HOP, frame + 1
+    return sorted(out)
+
+
+def test_peaks_are_those_of_the_plain_transform():
+    rng = np.random.default_rng(9)
+    for n in (576, 1152, 4608, 12_096):
+        t = np.arange(n)
+        tone = (128 + 50 * np.sin(t / 5) + 20 * np.sin(t / 1.7 + n) + rng.integers(-9, 10, n)).astype(np.uint8).tobytes()
+        at, bins = media.peaks(tone)
+        assert list(zip(at.tolist(), bins.tolist(), strict=True)) == plain_peaks(tone)
+    words = ("plain words of a document, " * 200).encode()[: 576 * 8]
+    assert list(zip(*(a.tolist() for a in media.peaks(words)), strict=True)) == plain_peaks(words)
+
+
 @pytest.fixture(scope="module")
 def coder():
     ranks = bpe.read_ranks(RANKS)
