@@ -7,13 +7,14 @@ need an order rows do not have (FillDown, FillUp, an index without a sort) are r
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.errors import GuardRefused
+from plumbline.operators.ordered import numbered
 
 _TOKEN = re.compile(r"""\s*(?://[^\n]*\s*|/\*.*?\*/\s*)*(?:(?P<num>\d+(?:\.\d+)?)|(?P<text>"(?:[^"]|"")*")|(?P<name>\#"(?:[^"]|"")*"|[A-Za-z_][\w.]*)|(?P<op>=>|<=|>=|<>|[-+*/&=<>(){}\[\],]))""", re.S)
 _LOOSE = {"or": 1, "and": 2, "=": 3, "<>": 3, "<": 3, ">": 3, "<=": 3, ">=": 3, "+": 4, "-": 4, "&": 4, "*": 5, "/": 5}
@@ -170,6 +171,12 @@ class _Table:
     def __init__(self, df: DataFrame, order: list[Column] | None = None, nested: dict | None = None):
         self.df, self.order, self.nested = df, order, nested or {}
 
+    def of(self, df: DataFrame, kept: list[str] | None = None) -> _Table:
+        """These rows after a step that keeps their order, and the nested columns that it keeps and whose keys it keeps."""
+        there = set(df.columns)
+        nested = {n: j for n, j in self.nested.items() if (kept is None or n in kept) and there.issuperset(j[2])}
+        return _Table(df, self.order, nested)
+
 
 class PowerQuery:
     """Queries by name, and the tables they read."""
@@ -251,12 +258,17 @@ class PowerQuery:
 
     def source(self, t: tuple) -> _Table | None:
         """Excel.CurrentWorkbook(){[Name="x"]}[Content], or a database's table by schema and item."""
-        text = repr(t)
-        if "Excel.CurrentWorkbook" in text or ".Database" in text:
-            if "Web." in text:
-                raise GuardRefused("web sources are not read.")
-            names = re.findall(r"'(?:Name|Item)': \('text', '([^']*)'\)", text)
-            return _Table(self.tables[names[-1]])
+        parts = list(_parts(t))
+        calls = {x[1] for x in parts if x[0] == "call"}
+        if any(n.startswith("Web.") for n in calls):
+            raise GuardRefused("web sources are not read.")
+        if "Excel.CurrentWorkbook" in calls or any(n.split(".")[-1] in ("Database", "Databases") for n in calls):
+            named = [r[k][1] for r in (x[1] for x in parts if x[0] == "record") for k in ("Name", "Item") if k in r and r[k][0] == "text"]
+            if not named:
+                raise GuardRefused("a source names no table.")
+            if named[-1] not in self.tables:  # the innermost record comes first, and the last step names the item
+                raise GuardRefused(f"{named[-1]} is no table here.")
+            return _Table(self.tables[named[-1]])
         return None
 
     @staticmethod
@@ -270,27 +282,31 @@ class PowerQuery:
         if inner[0] == "call" and inner[1] == "List.Contains" and inner[2][0][0] == "field" and inner[2][0][1] is not None:
             (_, of, k), (_, _, own) = inner[2]
             other = self.table(of, steps).df.select(F.col(f"`{k}`").alias("__k")).where("__k IS NOT NULL")
-            return _Table(t.df.join(other, F.col(f"`{own}`") == F.col("__k"), "left_anti" if negated else "left_semi"), t.order)
-        return _Table(t.df.where(self.column(test, steps)), t.order)
+            return t.of(t.df.join(other, F.col(f"`{own}`") == F.col("__k"), "left_anti" if negated else "left_semi"))
+        return t.of(t.df.where(self.column(test, steps)))
 
     def m_selectcolumns(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
-        return _Table(t.df.select(*[f"`{n}`" for n in self.names(args[1])]), t.order)
+        names = self.names(args[1])
+        return t.of(t.df.select(*[f"`{n}`" for n in names if n not in t.nested]), names)
 
     m_reordercolumns = m_selectcolumns
 
     def m_removecolumns(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
-        return _Table(t.df.drop(*self.names(args[1])), t.order)
+        gone = self.names(args[1])
+        return t.of(t.df.drop(*gone), [n for n in t.nested if n not in gone])
 
     def m_renamecolumns(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
         pairs = args[1][1] if args[1][1][0][0] == "list" else [args[1]]
-        return _Table(t.df.withColumnsRenamed({a[1]: b[1] for _, (a, b) in pairs}), t.order)
+        new = {a[1]: b[1] for _, (a, b) in pairs}
+        nested = {new.get(n, n): (how, right, [new.get(k, k) for k in left], theirs) for n, (how, right, left, theirs) in t.nested.items()}
+        return _Table(t.df.withColumnsRenamed({a: b for a, b in new.items() if a not in t.nested}), t.order, nested)
 
     def m_duplicatecolumn(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
-        return _Table(t.df.withColumn(args[2][1], F.col(f"`{args[1][1]}`")), t.order)
+        return t.of(t.df.withColumn(args[2][1], F.col(f"`{args[1][1]}`")))
 
     def m_transformcolumntypes(self, args: list, steps: dict) -> _Table:
         return self.table(args[0], steps)
@@ -301,7 +317,7 @@ class PowerQuery:
         t, (_, x) = self.table(args[0], steps), args[2]
         if x[0] == "name" and isinstance(steps.get(x[1]), _Table) or x[0] == "name" and (x[1] in self.tables or x[1] in self.queries):
             return _Table(t.df, t.order, t.nested | {args[1][1]: ("cross", self.table(x, steps).df, [], [])})
-        return _Table(t.df.withColumn(args[1][1], self.column(x, steps)), t.order)
+        return t.of(t.df.withColumn(args[1][1], self.column(x, steps)))
 
     def m_transformcolumns(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
@@ -310,7 +326,7 @@ class PowerQuery:
         for _, (name, f, *_) in pairs:
             tree = f[1] if f[0] == "each" else ("call", f[1], [("name", "_")])
             changed[name[1]] = self.column(_put(tree, ("field", None, name[1])), steps)
-        return _Table(t.df.withColumns(changed), t.order)
+        return t.of(t.df.withColumns(changed))
 
     def m_replacevalue(self, args: list, steps: dict) -> _Table:
         t, old, new, how = self.table(args[0], steps), args[1], args[2], args[3][1]
@@ -323,7 +339,7 @@ class PowerQuery:
                 changed[n] = F.replace(c, F.lit(old[1]), F.lit(new[1]))
             else:
                 changed[n] = F.when(c == F.lit(old[1]), self.column(new, steps)).otherwise(c)
-        return _Table(t.df.withColumns(changed), t.order)
+        return t.of(t.df.withColumns(changed))
 
     def m_filldown(self, args: list, steps: dict) -> _Table:
         raise GuardRefused("Table.FillDown and FillUp need the order of rows, which a table does not have.")
@@ -353,18 +369,23 @@ class PowerQuery:
         if how in ("left_anti", "right_anti"):
             a, b, ka, kb = (t.df, right.df, left, theirs) if how == "left_anti" else (right.df, t.df, theirs, left)
             other = b.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(kb)])
-            return _Table(a.join(other, [F.col(f"`{k}`").eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(ka)], "left_anti"))
+            return _Table(a.join(other, [F.col(f"`{k}`").eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(ka)], "left_anti"), t.order if how == "left_anti" else None, t.nested if how == "left_anti" else None)
         return _Table(t.df, t.order, t.nested | {new: (how, right.df, left, theirs)})
 
     def m_expandtablecolumn(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
-        how, right, left, theirs = t.nested[args[1][1]]
+        nested = args[1][1]
+        if nested not in t.nested:
+            raise GuardRefused(f"{nested} is no nested table here.", fix=f"there are {', '.join(t.nested) or 'none'}")
+        how, right, left, theirs = t.nested[nested]
         names = self.names(args[2])
         new = self.names(args[3]) if len(args) > 3 else names
+        # The keys of the other nested tables are this table's columns, so they can be expanded later.
         marked = right.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(theirs)], *[F.col(f"`{n}`").alias(f"__n{i}") for i, n in enumerate(names)])
         on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(left)]
         df = t.df.crossJoin(marked) if how == "cross" else t.df.join(marked, on, how)
-        return _Table(df.select(*[f"`{c}`" for c in t.df.columns], *[F.col(f"__n{i}").alias(n) for i, n in enumerate(new)]))
+        df = df.select(*[F.col(f"`{c}`") for c in t.df.columns], *[F.col(f"__n{i}").alias(n) for i, n in enumerate(new)])
+        return _Table(df, t.order, {k: v for k, v in t.nested.items() if k != nested})
 
     def m_combine(self, args: list, steps: dict) -> _Table:
         return _Table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.table(x, steps).df for x in args[0][1]]))
@@ -396,7 +417,7 @@ class PowerQuery:
         for _, (name, *way) in specs:
             c = F.col(f"`{name[1]}`")
             order.append(c.desc() if way and way[0][1] == "Order.Descending" else c.asc())
-        return _Table(t.df, order)
+        return _Table(t.df, order, t.nested)
 
     def m_firstn(self, args: list, steps: dict) -> _Table:
         t = self.table(args[0], steps)
@@ -409,26 +430,22 @@ class PowerQuery:
         if not t.order:
             raise GuardRefused("Table.AddIndexColumn without Table.Sort numbers rows by chance.")
         start, step = (args[2][1] if len(args) > 2 else 0), (args[3][1] if len(args) > 3 else 1)
-        return _Table(numbered(t.df, t.order, args[1][1], start, step), t.order)
-
-
-def numbered(df: DataFrame, order: list[Column], name: str, start: int, step: int) -> DataFrame:
-    """Rows numbered in an order without one task sorting them all: ranges are sorted apart, and each starts where the
-    rows of those before it, which are counted, end."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
-    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    lists = counts.agg(F.collect_list(F.struct("__part", "__n")).alias("__counts"))
-    before = F.aggregate(F.filter("__counts", lambda c: c["__part"] < F.col("__part")), F.lit(0).cast("long"), lambda acc, c: acc + c["__n"])
-    out = dealt.crossJoin(F.broadcast(lists)).withColumn(name, (F.col("__at") + before) * step + start)
-    return out.drop("__id", "__part", "__at", "__counts")
+        return t.of(numbered(t.df, t.order, args[1][1], start, step))
 
 
 class _NotATable(ValueError):
     pass
 
 
+def _parts(t: tuple) -> Iterator[tuple]:
+    """The trees of a tree, inner ones first."""
+    for x in t[1:]:
+        for y in x if isinstance(x, list) else x.values() if isinstance(x, dict) else [x]:
+            if isinstance(y, tuple) and y:
+                yield from _parts(y)
+    yield t
+
+
 def _put(t: tuple, value: tuple) -> tuple:
     """The tree with value for _."""
     if t == ("name", "_"):
