@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -423,8 +424,8 @@ ARITY = {
 AGGREGATES = frozenset(
     "count sum avg min max collect_set collect_list variance var_pop var_samp stddev stddev_pop stddev_samp corr covar_pop covar_samp percentile percentile_approx histogram_numeric "
     "any some every bool_and bool_or count_if max_by min_by median any_value approx_count_distinct approx_percentile array_agg bit_and bit_or bit_xor bitmap_construct_agg bitmap_or_agg "
-    "bitmap_and_agg count_min_sketch first first_value grouping grouping_id hll_sketch_agg hll_union_agg kurtosis last last_value listagg string_agg mean mode percentile_cont percentile_disc "
-    "regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy skewness std try_avg try_sum approx_top_k".split()
+    "bitmap_and_agg count_min_sketch first first_value grouping grouping_id kurtosis last last_value listagg string_agg mean mode percentile_cont percentile_disc "
+    "regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy skewness std try_avg try_sum".split()
 )
 WINDOW_ONLY = frozenset("row_number rank dense_rank ntile lag lead cume_dist percent_rank nth_value".split())
 NOT_IN_SPARK = frozenset("context_ngrams ngrams measure".split())
@@ -434,6 +435,11 @@ _KINDS = {NUMBER: "length instr locate ascii datediff months_between year quarte
 _KIND_OF = {n: k for k, names in _KINDS.items() for n in names}
 
 
+def aggregates(name: str) -> bool:
+    """Whether a function aggregates. Sketches are named by a rule: <sketch>_<what>_agg, some with a type."""
+    return name in AGGREGATES or re.fullmatch(r"(hll|kll|theta)_\w+_agg(_\w+)?|approx_top_k(_accumulate|_combine)?", name) is not None
+
+
 def sql_function(name: str, *args: Any) -> Expr:
     """A named function of the SQL dialect; `variance` is the population's."""
     name = name.lower()
@@ -446,7 +452,7 @@ def sql_function(name: str, *args: Any) -> Expr:
         if len(args) < least or most is not None and len(args) > most:
             raise GuardRefused(f"{name}() takes {least}{'' if most == least else ' or more' if most is None else f' to {most}'} arguments, not {len(args)}.")
     args = tuple(literal(a) for a in args)
-    if name in AGGREGATES:
+    if aggregates(name):
         if any(a.aggregates for a in args):
             raise GuardRefused(f"{name}() of an aggregate: aggregates cannot be nested.")
         return Expr("agg", ("call", name, *args), _KIND_OF.get(name), None if name in ("count", "sum", "min", "max") else f"it is {name}()")

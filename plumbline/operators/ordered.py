@@ -7,22 +7,19 @@ a window over that range alone. Rows that tie may be in several ranges, so that
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import shared_dir
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """df's rows, partitions and orders as they are now, whatever happens: checkpointed in spark.checkpoint.dir. Where
-    that is unset a local folder will do in local mode; on a cluster it is refused."""
+    """df's rows, partitions and orders as they are now, whatever happens: checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver.")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.errors import GuardRefused
+from plumbline.sources.formulas import parse
 
 SUMMARY = {"sum": F.sum, "count": F.count, "count numbers": lambda c: F.count(c.try_cast("double")), "average": F.avg, "max": F.max, "min": F.min, "stddev": F.stddev_samp, "stddevp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop, "distinct": F.count_distinct}
 #: Ways of showing that are not translated.
@@ -75,6 +76,7 @@ class Pivot:
     drop: Mapping[str, tuple] = field(default_factory=dict)  # hidden items
     between: Mapping[str, tuple] = field(default_factory=dict)  # timelines
     top: tuple[str, int, str] | None = None  # field, n (below zero: bottom), summed column
+    items: Mapping[str, Mapping[str, str]] = field(default_factory=dict)  # calculated items, by field: name to a formula over its items
 
     def filtered(self, df: DataFrame) -> DataFrame:
         for c, items in self.keep.items():
@@ -112,11 +114,40 @@ class Pivot:
             else:
                 aggs.append((F.count(F.lit(1)) if v.column is None else SUMMARY[v.how](F.col(f"`{v.column}`"))).alias(v.name))
         out = df.groupBy(*[f.expression().alias(f.output) for f in fields]).agg(*aggs)
+        for of, items in self.items.items():
+            for item, formula in items.items():
+                out = self.with_item(out.select(*keys, *[v.name for v in self.values]), of, item, formula)
         for v in self.values:
             if v.show:
                 out = self.shown(out, v)
         return out.select(*keys, *[v.name for v in self.values])
 
+    def with_item(self, out: DataFrame, of: str, item: str, formula: str) -> DataFrame:
+        """The cells, and for each group of the other fields one more: the item, calculated from the sums of the field's
+        other items, where an item without rows counts as 0."""
+        if any(v.formula or v.how not in ("sum", "count", "count numbers") for v in self.values):
+            raise GuardRefused(f"{item} is calculated from items, whose averages, extremes and distinct counts do not add up.")
+        others = [f.output for f in (*self.rows, *self.columns) if f.output != of]
+
+        def value(tree: tuple, c: str) -> Column:
+            match tree:
+                case ("name" | "text", n):
+                    return F.coalesce(F.sum(F.when(F.col(f"`{of}`").cast("string") == str(n), F.col(f"`{c}`"))), F.lit(0))
+                case ("num", x):
+                    return F.lit(x)
+                case ("neg", x):
+                    return -value(x, c)
+                case ("op", "/", a, b):
+                    return F.try_divide(value(a, c), value(b, c))
+                case ("op", "+" | "-" | "*" as sign, a, b):
+                    x, y = value(a, c), value(b, c)
+                    return x + y if sign == "+" else x - y if sign == "-" else x * y
+            raise GuardRefused(f"{item}: {formula} is not translated.")
+
+        tree = parse(formula)
+        made = out.groupBy(*[f"`{k}`" for k in others]).agg(*[value(tree, v.name).alias(v.name) for v in self.values])
+        return out.withColumn(of, F.col(f"`{of}`").cast("string")).unionByName(made.withColumn(of, F.lit(item)))
+
     def shown(self, out: DataFrame, v: Value) -> DataFrame:
         """Windows over the aggregated rows, which are as few as the pivot's cells."""
         c = F.col(v.name)

@@ -1,17 +1,22 @@
-"""Writes and table upkeep. An overwrite replaces the partitions that the rows fill, so that a rerun gives the same table."""
+"""Writes and table upkeep. An overwrite replaces the partitions that the rows fill, so that a rerun gives the same table.
+
+Nothing is deleted before its replacement is written in full: a query that fails leaves the table as it was, and one may
+read what it overwrites.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.errors import GuardRefused
 from plumbline.functions.expressions import quoted
 from plumbline.plans.statements import Catalog, Derived, Stack, Statement
-from plumbline.sources.tables import Table
+from plumbline.sources.tables import KEY, Table
 
 _log: str | None = None
 #: Named groups of session settings.
@@ -35,6 +40,11 @@ def _ran(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+def unchecked_sql(spark: SparkSession, text: str) -> DataFrame:
+    """A whole statement as it is written, unchecked; appended to the admin log."""
+    return _ran(spark, text)
+
+
 def settings(spark: SparkSession, *names: str, sets: Mapping[str, str] | None = None) -> None:
     for n in names:
         if n not in SETTINGS:
@@ -81,32 +91,76 @@ def insert_overwrite(table: Table, query: Statement | Stack, catalog: Catalog, u
     """Replaces the partitions the rows fill, or the named ones even where no row fills them, or the whole table."""
     check_write(table, query, unproven_key, partition)
     df = _rows(table, query, catalog, partition)
-    writer = df.write.mode("overwrite").format(table.stored_as)
-    if table.compression:
-        writer = writer.option("compression", table.compression)
     if table.partitioned_by:
-        if partition:
-            clear_partition(df.sparkSession, table, partition)
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*table.partitioned_by)
-    writer.save(table.location)
+        before = _files(df.sparkSession, table, partition) if partition else {}
+        # Spark stages the rows and puts each partition in place once the job has succeeded.
+        _writer(table, df).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*table.partitioned_by).save(table.location)
+        after = _files(df.sparkSession, table, partition) if partition else {}
+        for folder in [f for f, files in before.items() if after.get(f) == files]:  # no row has filled it
+            _delete(df.sparkSession, folder)
+        return
+    new, old = (f"{table.location.rstrip('/')}{end}{uuid.uuid4().hex}" for end in ("__new_", "__old_"))
+    try:
+        _writer(table, df).save(new)
+        _swap(df.sparkSession, new, table.location, old)
+    finally:
+        _delete(df.sparkSession, new)
+
+
+def _writer(table: Table, df: DataFrame) -> DataFrameWriter:
+    writer = df.write.format(table.stored_as)
+    return writer.option("compression", table.compression) if table.compression else writer
 
 
 def insert_into(table: Table, query: Statement | Stack, catalog: Catalog, unproven_key: bool = False, partition: Mapping[str, object] | None = None) -> None:
     """Appends; running it twice appends twice."""
     check_write(table, query, unproven_key, partition)
-    writer = _rows(table, query, catalog, partition).write.mode("append").format(table.stored_as)
+    writer = _writer(table, _rows(table, query, catalog, partition)).mode("append")
     (writer.partitionBy(*table.partitioned_by) if table.partitioned_by else writer).save(table.location)
 
 
-def clear_partition(spark: SparkSession, table: Table, partition: Mapping[str, object]) -> None:
-    """Deletes the folders of a partition prefix, on whatever file system the table is."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table.location.rstrip("/") + "/" + "/".join(f"{p}={v}" for p, v in partition.items()))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+def _fs(spark: SparkSession, path: str):
+    """The path and its file system, whatever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path, fs = _fs(spark, path)
     if fs.exists(path):
         fs.delete(path, True)
 
 
+def _swap(spark: SparkSession, new: str, place: str, old: str) -> None:
+    """Puts a folder in another's place; the other is moved aside first, and back if that fails."""
+    (new, fs), (place, _), (old, _) = (_fs(spark, p) for p in (new, place, old))
+    there = fs.exists(place)
+    if there and not fs.rename(place, old):
+        raise OSError(f"{place} cannot be moved aside")
+    if not fs.rename(new, place):
+        if there:
+            fs.rename(old, place)
+        raise OSError(f"{place} cannot be replaced")
+    if there:
+        fs.delete(old, True)
+
+
+def _files(spark: SparkSession, table: Table, partition: Mapping[str, object]) -> dict[str, frozenset]:
+    """The files of each folder of a partition prefix."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    top, fs = _fs(spark, table.location.rstrip("/") + "/" + "/".join(name(p, str(v)) for p, v in partition.items()))
+    found: dict[str, frozenset] = {}
+    waiting = [top] if fs.exists(top) else []
+    while waiting:
+        folder = waiting.pop()
+        entries = fs.listStatus(folder)
+        waiting += [e.getPath() for e in entries if e.isDirectory()]
+        files = frozenset(e.getPath().getName() for e in entries if not e.isDirectory())
+        if files:
+            found[folder.toString()] = files
+    return found
+
+
 def seed_copy(table: Table, original: DataFrame, limits: Mapping[str, object] | None = None) -> None:
     """A one-time copy: by column a least value, {"from":, "to":}, or a list."""
     df = original
@@ -121,17 +175,24 @@ def seed_copy(table: Table, original: DataFrame, limits: Mapping[str, object] |
     (writer.option("partitionOverwriteMode", "dynamic").partitionBy(*table.partitioned_by) if table.partitioned_by else writer).save(table.location)
 
 
+def _text(value: object) -> str:
+    """A value as a text of SQL."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def create_table_sql(t: Table, may_exist: bool = False) -> str:
-    columns = ", ".join(f"{quoted(c)} {d}" + (f" COMMENT '{t.descriptions[c]}'" if c in t.descriptions else "") for c, d in t.columns.items())
+    """The key is kept as the property KEY, as formats of files have no keys."""
+    columns = ", ".join(f"{quoted(c)} {d}" + (f" COMMENT {_text(t.descriptions[c])}" if c in t.descriptions else "") for c, d in t.columns.items())
     text = f"CREATE TABLE {'IF NOT EXISTS ' if may_exist else ''}{t.name} ({columns}) USING {t.stored_as}"
     if t.partitioned_by:
         text += f" PARTITIONED BY ({', '.join(map(quoted, t.partitioned_by))})"
     if t.bucketed_by:
         text += f" CLUSTERED BY ({', '.join(map(quoted, t.bucketed_by))})" + (f" SORTED BY ({', '.join(map(quoted, t.sorted_by))})" if t.sorted_by else "") + f" INTO {t.buckets} BUCKETS"
     if t.location:
-        text += f" LOCATION '{t.location}'"
-    if t.properties:
-        text += " TBLPROPERTIES (" + ", ".join(f"'{k}'='{v}'" for k, v in t.properties.items()) + ")"
+        text += f" LOCATION {_text(t.location)}"
+    properties = t.properties | ({KEY: ",".join(t.key)} if t.key is not None else {})
+    if properties:
+        text += " TBLPROPERTIES (" + ", ".join(f"{_text(k)}={_text(v)}" for k, v in properties.items()) + ")"
     return text
 
 
@@ -144,7 +205,7 @@ def repair_partitions(spark: SparkSession, t: Table) -> None:
 
 
 def compute_statistics(spark: SparkSession, t: Table, partition: Mapping[str, object] | None = None, columns: bool = False) -> None:
-    part = f" PARTITION ({', '.join(f'{p}={v!r}' for p, v in partition.items())})" if partition else ""
+    part = f" PARTITION ({', '.join(f'{quoted(p)}={_text(v)}' for p, v in partition.items())})" if partition else ""
     _ran(spark, f"ANALYZE TABLE {t.name}{part} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))
 
 
@@ -157,7 +218,7 @@ def drop_partitions(spark: SparkSession, t: Table, where: Callable[[dict[str, st
     rows = [dict(p.split("=", 1) for p in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {t.name}").collect()]
     gone = [r for r in rows if where(r)]
     for r in gone:
-        _ran(spark, f"ALTER TABLE {t.name} DROP IF EXISTS PARTITION ({', '.join(f'{quoted(p)}={v!r}' for p, v in r.items())})")
+        _ran(spark, f"ALTER TABLE {t.name} DROP IF EXISTS PARTITION ({', '.join(f'{quoted(p)}={_text(v)}' for p, v in r.items())})")
     return gone
 
 
@@ -171,7 +232,7 @@ def add_columns(spark: SparkSession, t: Table) -> list[str]:
 
 
 def set_properties(spark: SparkSession, t: Table) -> None:
-    _ran(spark, f"ALTER TABLE {t.name} SET TBLPROPERTIES ({', '.join(f'{k!r}={v!r}' for k, v in t.properties.items())})")
+    _ran(spark, f"ALTER TABLE {t.name} SET TBLPROPERTIES ({', '.join(f'{_text(k)}={_text(v)}' for k, v in t.properties.items())})")
 
 
 def move_to_own_folder(spark: SparkSession, name: str, t: Table) -> None:

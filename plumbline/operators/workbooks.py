@@ -145,8 +145,7 @@ class _Writer:
             case ("call", n, _):
                 return _KIND.get(n, "unknown")
             case ("op", "+" | "-", a, b):
-                kinds = (self.kind(a), self.kind(b))
-                return "date" if (kinds[0] == "date") != (kinds[1] == "date") else "number"
+                return "date" if self.dated(a) != self.dated(b) else "number"
             case ("op", "&", _, _):
                 return "text"
             case ("op", "=" | "<>" | "<" | ">" | "<=" | ">=", _, _):
@@ -179,6 +178,10 @@ class _Writer:
         column = F.col(f"`{c}`")
         return column if blank is None or self.as_is else F.coalesce(column, F.lit(blank))
 
+    def dated(self, tree: tuple) -> bool:
+        """Whether arithmetic reads a value as a date."""
+        return self.kind(tree) == "date" or tree[0] == "cell" and tree[1] in (None, self.table) and tree[2] in self.book.text_dates.get(self.table, ())
+
     def date(self, tree: tuple) -> Column:
         """A value as a date; a column of dates as texts of 8 digits is made one here."""
         if tree[0] == "cell" and tree[1] in (None, self.table) and tree[2] in self.book.text_dates.get(self.table, ()):
@@ -220,7 +223,7 @@ class _Writer:
                     return F.next_day(F.date_sub(self.date(d), 7), "MO")
         if sign == "+" and (merged := _merged(a, b)) is not None:
             return self.value(merged)
-        dates = self.kind(a) == "date", self.kind(b) == "date"
+        dates = self.dated(a), self.dated(b)
         if sign in "+-" and any(dates):
             if sign == "-" and all(dates):
                 return F.datediff(self.date(a), self.date(b))

@@ -579,11 +579,14 @@ def first_look(table: Table, rows: int = 20) -> Statement:
 
 
 def run_query(query: Statement | Stack, catalog: Catalog, rows: int | None = None) -> DataFrame:
-    """The lowered query. rows: an automatic LIMIT, which refuses a result that fills it."""
+    """The lowered query. rows: an automatic LIMIT, which refuses a result that fills it; the rows are kept, so that the
+    query runs once."""
     df = query.lower(catalog)
     if rows is None or getattr(query, "limit", None) or getattr(query, "returns_all_rows", False):
         return df
-    got = df.limit(rows)
+    from plumbline.operators.ordered import settled
+
+    got = settled(df.limit(rows))
     if got.count() == rows:
         raise LoadRefused(f"the result has {rows} rows or more.", "it may have been cut.", "add LIMIT or narrow WHERE", "returns_all_rows=True")
     return got

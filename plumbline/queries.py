@@ -22,9 +22,13 @@ from plumbline.operators.batches import run_batch
 from plumbline.operators.lineage import edges_frame
 from plumbline.operators.pivots import Field, Pivot, Value
 from plumbline.operators.power_query import PowerQuery
-from plumbline.operators.verify import compare_copies, differences, near
+from plumbline.operators.sinks import insert_into, insert_overwrite, seed_copy
+from plumbline.operators.verify import compare_batch, compare_copies, differences, near
 from plumbline.operators.workbooks import Workbook
-from plumbline.sources.tables import check_key
+from plumbline.plans.converting import convert_query
+from plumbline.plans.rendering import to_sql
+from plumbline.sources.shared import new_place
+from plumbline.sources.tables import Table, check_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,14 +165,31 @@ for _f, _args, _sql in (
     ("log10", (_k,), "log10(o_totalprice)"), ("log2", (_k,), "log2(o_totalprice)"), ("pow", (_k, 2), "pow(o_totalprice, 2)"), ("power", (_k, 0.5), "pow(o_totalprice, 0.5)"), ("pmod", (-o.o_custkey, 7), "((-o_custkey % 7) + 7) % 7"), ("sign", (_k - 100000,), "sign(o_totalprice - 100000)"),
     ("negative", (_k,), "-o_totalprice"), ("positive", (_k,), "o_totalprice"), ("hex", (o.o_orderkey,), "upper(to_hex(o_orderkey))"), ("size", (sql_function("split", _t, "-"),), "len(string_split(o_orderpriority, '-'))"),
     ("array_contains", (sql_function("split", _t, "-"), "HIGH"), "list_contains(string_split(o_orderpriority, '-'), 'HIGH')"), ("space", (2,), "'  '"), ("format_number", (sql_function("floor", _k), 0), "format('{:,}', floor(o_totalprice)::BIGINT)"),
-    ("months_between", (sql_function("to_date", _d), "1995-01-31"), None), ("initcap", (_t,), None), ("hash", (_t,), None), ("from_unixtime", (o.o_orderkey,), "strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S')"),
+    ("months_between", (sql_function("to_date", _d), "1995-01-31"), "round((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 + CASE WHEN o_orderdate::DATE = last_day(o_orderdate) OR day(o_orderdate) = 31 THEN 0 ELSE (day(o_orderdate) - 31) / 31.0 END, 8)"),
+    ("initcap", (_t,), "array_to_string(list_transform(string_split(lower(o_orderpriority), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"), ("hash", (_t,), None), ("split", (_t, "-"), "string_split(o_orderpriority, '-')"),
+    ("sort_array", (sql_function("split", _t, ""),), "list_sort(regexp_extract_all(o_orderpriority, '.'))"), ("unhex", (sql_function("hex", _t),), "o_orderpriority::BLOB"), ("unbase64", (sql_function("base64", sql_function("unhex", sql_function("hex", _t))),), "o_orderpriority::BLOB"),
+    ("element_at", (sql_function("str_to_map", sql_function("concat", "s:", o.o_orderstatus, ",p:", _t), ",", ":"), "p"), "o_orderpriority"), ("rand_below_one", (), "true"), ("from_unixtime", (o.o_orderkey,), "strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S')"),
 ):
-    query(f"fn_{_f}", _sql and f"SELECT o_orderkey, {_sql} AS v FROM orders", statement(SELECT(o.o_orderkey, AS(sql_function(_f, *_args), "v")), FROM(o)))
+    if _f == "rand_below_one":
+        query("fn_rand", "SELECT o_orderkey, true AS v FROM orders", statement(SELECT(o.o_orderkey, AS(less_than(sql_function("rand", 7), 1.0), "v")), FROM(o)))
+        continue
+    query(f"fn_{'str_to_map' if _f == 'element_at' else _f}", _sql and f"SELECT o_orderkey, {_sql} AS v FROM orders", statement(SELECT(o.o_orderkey, AS(sql_function(_f, *_args), "v")), FROM(o)))
 query("fn_if", "SELECT o_orderkey, CASE WHEN o_custkey > 50 THEN 1 ELSE 0 END AS v FROM orders", statement(SELECT(o.o_orderkey, AS(sql_function("if", more_than(o.o_custkey, 50).expr, 1, 0), "v")), FROM(o)))
 for _f, _args, _sql in (("corr", (c.c_acctbal, c.c_custkey), "corr(c_acctbal, c_custkey)"), ("covar_pop", (c.c_acctbal, c.c_custkey), "covar_pop(c_acctbal, c_custkey)"), ("covar_samp", (c.c_acctbal, c.c_custkey), "covar_samp(c_acctbal, c_custkey)"), ("max_by", (c.c_custkey, c.c_acctbal), "max_by(c_custkey, c_acctbal)"), ("min_by", (c.c_custkey, c.c_acctbal), "min_by(c_custkey, c_acctbal)"), ("percentile", (c.c_acctbal, 0.5), "quantile_cont(c_acctbal, 0.5)"), ("count_if", (more_than(c.c_acctbal, 0).expr,), "count_if(c_acctbal > 0)"), ("bool_and", (more_than(c.c_acctbal, -900).expr,), "bool_and(c_acctbal > -900)"), ("bool_or", (more_than(c.c_acctbal, 9900).expr,), "bool_or(c_acctbal > 9900)")):
     _v = sql_function(_f, *_args)
     query(f"agg_{_f}", f"SELECT c_nationkey, {_sql if _f.startswith(('bool', 'count', 'max', 'min')) else f'round({_sql}, 6)'} AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(_v if _f.startswith(("bool", "count", "max", "min")) else sql_function("round", _v, 6), "v")), FROM(c), GROUP_BY(c.c_nationkey)))
 
+for _f, _args, _sql in (
+    ("any", (more_than(c.c_acctbal, 9000).expr,), "bool_or(c_acctbal > 9000)"), ("some", (more_than(c.c_acctbal, 9500).expr,), "bool_or(c_acctbal > 9500)"), ("every", (more_than(c.c_acctbal, -900).expr,), "bool_and(c_acctbal > -900)"),
+    ("count", (c.c_mktsegment,), "count(c_mktsegment)"), ("max", (c.c_acctbal,), "max(c_acctbal)"), ("min", (c.c_acctbal,), "min(c_acctbal)"), ("sum", (c.c_custkey,), "sum(c_custkey)"), ("collect_list", (c.c_custkey,), "list(c_custkey)"), ("collect_set", (c.c_mktsegment,), "list(DISTINCT c_mktsegment)"),
+    ("percentile_approx", (c.c_acctbal, 0.5, 100_000), "quantile_disc(c_acctbal, 0.5)"), ("histogram_numeric", (c.c_custkey, 3), "least(3, count(DISTINCT c_custkey))"), ("kll_sketch_agg_bigint", (c.c_custkey,), "count(c_custkey)"), ("theta_sketch_agg", (c.c_mktsegment,), "count(DISTINCT c_mktsegment)"),
+):
+    _v = sql_function(_f, *_args)
+    _v, _sql = {"collect_list": (sql_function("sort_array", _v), f"list_sort({_sql})"), "collect_set": (sql_function("sort_array", _v), f"list_sort({_sql})"), "histogram_numeric": (sql_function("size", _v), _sql), "kll_sketch_agg_bigint": (sql_function("kll_sketch_get_n_bigint", _v), _sql), "theta_sketch_agg": (sql_function("theta_sketch_estimate", _v), _sql)}.get(_f, (_v, _sql))
+    query(f"agg_{_f}", f"SELECT c_nationkey, {_sql} AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(_v, "v")), FROM(c), GROUP_BY(c.c_nationkey)))
+for _f, _sql in (("avg", "avg"), ("stddev", "stddev_samp"), ("var_pop", "var_pop")):
+    query(f"agg_{_f}_named", f"SELECT c_nationkey, round({_sql}(c_acctbal), 6) AS v FROM customer GROUP BY 1", statement(SELECT(c.c_nationkey, AS(sql_function("round", sql_function(_f, c.c_acctbal), 6), "v")), FROM(c), GROUP_BY(c.c_nationkey)))
+
 # Named functions over windows' ranges, verification and upkeep
 
 
@@ -185,11 +206,14 @@ _on("verify_bag_difference", "SELECT o_orderstatus, count(*) FILTER (o_totalpric
 _on("verify_check_key", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY copies DESC, 1, 2 LIMIT 20", lambda t, _: check_key(t("lineitem"), ["l_orderkey", "l_linenumber"]))
 _on("verify_copies", "SELECT coalesce(a.s, b.s) AS o_orderstatus, original, copied FROM (SELECT o_orderstatus AS s, count(*) AS original FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderstatus AS s, count(*) AS copied FROM orders WHERE o_orderkey > 10 GROUP BY 1) b ON a.s = b.s WHERE original IS DISTINCT FROM copied",
     lambda t, _: compare_copies(t("orders"), t("orders").where("o_orderkey > 10"), ["o_orderstatus"]))
-_on("verify_cells", "SELECT c_custkey, 'c_acctbal' AS \"column\", c_acctbal::VARCHAR AS \"left\", (c_acctbal + 1)::VARCHAR AS \"right\" FROM customer WHERE c_custkey % 100 = 3 AND false",
-    lambda t, _: near(t("customer").select("c_custkey", "c_acctbal"), t("customer").selectExpr("c_custkey", "c_acctbal * (1 + 1e-12) AS c_acctbal"), ["c_custkey"]))
+_on("verify_cells", "SELECT c_custkey, 'c_mktsegment' AS \"column\", c_mktsegment AS \"left\", 'OTHER' AS \"right\" FROM customer WHERE c_custkey % 100 = 3 UNION ALL SELECT c_custkey, 'c_nationkey', c_nationkey::VARCHAR, (c_nationkey + 1)::VARCHAR FROM customer WHERE c_custkey % 100 = 7",
+    lambda t, _: near(t("customer").drop("c_name"), t("customer").selectExpr("c_custkey", "if(c_custkey % 100 = 7, c_nationkey + 1, c_nationkey) AS c_nationkey", "c_acctbal * (1 + 1e-12) AS c_acctbal", "if(c_custkey % 100 = 3, 'OTHER', c_mktsegment) AS c_mktsegment"), ["c_custkey"]))
+_on("verify_compare_batch", "SELECT 'orders' AS name, o_orderstatus AS \"partition\", count(*) AS only_left, 0 AS only_right FROM orders WHERE o_orderkey % 50 = 1 GROUP BY 2 UNION ALL SELECT 'nation', '', 0, 0",
+    lambda t, spark: compare_batch(spark, {"orders": (t("orders"), t("orders").where("o_orderkey % 50 <> 1")), "nation": (t("nation"), t("nation"))}, {"orders": ["o_orderstatus"]}))
 _on("sql_batch", "SELECT n_name, n FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1) ON n_nationkey = c_nationkey", lambda t, spark: _batch(t, spark))
 _on("sql_lateral_view", "SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS word FROM orders", lambda t, spark: (t("orders").createOrReplaceTempView("raw_orders"), spark.sql("SELECT o_orderkey, word FROM raw_orders LATERAL VIEW explode(split(o_orderpriority, '-')) x AS word"))[1])
-_on("lineage_edges", None, lambda _, spark: edges_frame(spark, {"flagship": flagship}))
+_on("lineage_edges", """SELECT source, target, how FROM (VALUES ('nation.n_name', 'flagship.nation', 'value'), ('orders.o_orderdate', 'flagship.month', 'value'), ('lineitem.l_extendedprice', 'flagship.revenue', 'value'), ('lineitem.l_discount', 'flagship.revenue', 'value'), ('orders.o_orderkey', 'flagship.n_orders', 'value'),
+    ('lineitem.l_orderkey', 'flagship.*', 'rows'), ('orders.o_orderkey', 'flagship.*', 'rows'), ('orders.o_custkey', 'flagship.*', 'rows'), ('customer.c_custkey', 'flagship.*', 'rows'), ('customer.c_nationkey', 'flagship.*', 'rows'), ('nation.n_nationkey', 'flagship.*', 'rows'), ('nation.n_name', 'flagship.*', 'rows'), ('orders.o_orderdate', 'flagship.*', 'rows')) AS e(source, target, how)""", lambda _, spark: edges_frame(spark, {"flagship": flagship}))
 
 
 def _batch(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
@@ -200,6 +224,58 @@ def _batch(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
     return run_batch(spark, script, {"LEAST": 100})["mart.final"]
 
 
+def _script(t: Callable[[str], DataFrame], spark: SparkSession, text: str, table: str) -> DataFrame:
+    for name in ("orders", "customer", "nation"):
+        t(name).createOrReplaceTempView(f"raw_{name}")
+    return run_batch(spark, text)[table]
+
+
+_on("sql_insert_partition", "SELECT o_orderkey AS k, o_totalprice AS v, 'F' AS st FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT -1, 0.5, 'new'",
+    lambda t, spark: _script(t, spark, """CREATE TABLE mart.parts (k BIGINT, v DOUBLE) PARTITIONED BY (st STRING) STORED AS PARQUET;
+        INSERT INTO mart.parts (st, k) SELECT o_orderstatus, o_orderkey FROM raw_orders;
+        INSERT OVERWRITE TABLE mart.parts PARTITION (st = 'F') SELECT o_orderkey, o_totalprice FROM raw_orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000;
+        INSERT OVERWRITE TABLE mart.parts PARTITION (st) VALUES (-1, 0.5D, 'new')""", "mart.parts"))
+_on("sql_multi_insert", "SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+    lambda t, spark: _script(t, spark, """FROM raw_orders INSERT OVERWRITE TABLE a.big SELECT o_orderkey WHERE o_totalprice > 100000
+        INSERT OVERWRITE TABLE b.big SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS s WHERE o_orderstatus = 'F' GROUP BY o_custkey""", "b.big"))
+_on("sql_qualified_ctas", "SELECT n_name, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_acctbal > 0 GROUP BY 1",
+    lambda t, spark: _script(t, spark, """CREATE TABLE x.t AS SELECT n_nationkey, n_name FROM raw_nation; CREATE TABLE y.t AS SELECT c_nationkey FROM raw_customer WHERE c_acctbal > 0;
+        CREATE TABLE z.out AS SELECT t.n_name, count(*) AS n FROM x.t JOIN y.t AS u ON t.n_nationkey = u.c_nationkey GROUP BY t.n_name; DROP TABLE x.t""", "z.out"))
+_CONVERTED = """WITH busy AS (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS done FROM orders GROUP BY o_custkey HAVING count(*) > 2)
+    SELECT c.c_custkey, busy.n, busy.done, rank() OVER (PARTITION BY c.c_nationkey ORDER BY busy.n DESC) AS place FROM customer c LEFT JOIN busy ON busy.o_custkey = c.c_custkey AND NOT (busy.n <= 3 OR busy.done IS NULL) WHERE c.c_custkey BETWEEN 5 AND 500 OR c.c_mktsegment LIKE 'B%'"""
+_on("sql_converted", _CONVERTED.replace("DESC) AS place", "DESC NULLS LAST) AS place"), lambda t, spark: convert_query(spark, _CONVERTED, {"orders": o, "customer": c}).lower(t))
+_on("sql_rendered", "SELECT n_name AS nation, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
+    lambda t, spark: ([t(n).createOrReplaceTempView(n) for n in ("lineitem", "orders", "customer", "nation")], spark.sql(to_sql(flagship)))[1])
+
+# Writes: to a place of their own in the shared folder, read back
+
+
+def _written(name: str, sql: str, write: Callable[[Table, Callable[[str], DataFrame], SparkSession], None]) -> None:
+    def run(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
+        place = Table(f"mart.{name}", {"k": "bigint", "v": "double", "st": "string"}, partitioned_by=["st"], key=["k"], location=new_place(spark, name))
+        write(place, t, spark)
+        return spark.read.schema("k bigint, v double, st string").parquet(place.location)
+
+    _on(f"sink_{name}", sql, run)
+
+
+_sale = statement(SELECT(AS(o.o_orderkey, "k"), AS(o.o_totalprice, "v"), AS(o.o_orderstatus, "st")), FROM(o))
+_half = statement(SELECT(AS(o.o_orderkey, "k"), AS(o.o_totalprice / 2, "v"), AS(o.o_orderstatus, "st")), FROM(o), WHERE(equals(o.o_orderstatus, "F")))
+_none = statement(SELECT(AS(o.o_orderkey, "k"), AS(o.o_totalprice, "v")), FROM(o), WHERE(more_than(o.o_totalprice, 1e12)))
+_written("overwrite", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN o_totalprice / 2 ELSE o_totalprice END AS v, o_orderstatus AS st FROM orders", lambda p, t, _: (insert_overwrite(p, _sale, t), insert_overwrite(p, _half, t), insert_overwrite(p, _half, t)))
+_written("append", "SELECT o_orderkey AS k, o_totalprice AS v, o_orderstatus AS st FROM orders UNION ALL SELECT o_orderkey, o_totalprice / 2, o_orderstatus FROM orders WHERE o_orderstatus = 'F'", lambda p, t, _: (insert_overwrite(p, _sale, t), insert_into(p, _half, t)))
+_written("static_partition", "SELECT o_orderkey AS k, o_totalprice * 2 AS v, o_orderstatus AS st FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'P'", lambda p, t, spark: _static(p, t, spark))
+_written("seed_copy", "SELECT o_orderkey AS k, o_totalprice AS v, o_orderstatus AS st FROM orders WHERE o_orderkey BETWEEN 10 AND 5000 AND o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000", lambda p, t, _: seed_copy(p, _sale.lower(t), {"k": {"from": 10, "to": 5000}, "st": ["F", "O"], "v": 1000}))
+
+
+def _static(p: Table, t: Callable[[str], DataFrame], spark: SparkSession) -> None:
+    """A partition that is overwritten from itself, and one that no row fills any more."""
+    insert_overwrite(p, _sale, t)
+    own = statement(SELECT(p.k, AS(p.v * 2, "v")), FROM(p), WHERE(equals(p.st, "F")))
+    insert_overwrite(p, own, lambda _: spark.read.schema("k bigint, v double, st string").parquet(p.location), partition={"st": "F"})
+    insert_overwrite(p, _none, t, partition={"st": "O"})
+
+
 # Spreadsheet formulas, over orders, customer and events as tables of a workbook
 
 
@@ -234,6 +310,34 @@ for _f, _text, _sql in (
     ("xlookup", '=XLOOKUP([@[o_custkey]],customer[c_custkey],customer[c_name],"none")', "coalesce((SELECT c_name FROM customer WHERE c_custkey = o_custkey), 'none')"), ("vlookup", "=VLOOKUP([@[o_custkey]],customer,2,FALSE)", "(SELECT c_name FROM customer WHERE c_custkey = o_custkey)"), ("index_match", "=INDEX(customer[c_mktsegment],MATCH([@[o_custkey]],customer[c_custkey],0))", "(SELECT c_mktsegment FROM customer WHERE c_custkey = o_custkey)"),
 ):
     formula(_f, "orders", _text, _sql)
+for _f, _text, _sql in (
+    ("proper", "=PROPER(LOWER([@[o_orderstatus]]))", "o_orderstatus"), ("ifna", '=IFNA(XLOOKUP([@[o_custkey]],customer[c_custkey],customer[c_name]),"none")', "coalesce((SELECT c_name FROM customer WHERE c_custkey = o_custkey), 'none')"),
+    ("merged_ifs", '=SUMIFS([o_custkey],[o_orderstatus],"F")+SUMIFS([o_custkey],[o_orderstatus],"O")+SUMIFS([o_custkey],[o_orderstatus],"P")', "(SELECT sum(o_custkey) FROM orders WHERE o_orderstatus IN ('F', 'O', 'P'))"),
+    ("month_start", "=EOMONTH([@[o_orderdate]],-1)+1", "date_trunc('month', o_orderdate)::DATE"), ("week_start", "=[@[o_orderdate]]-WEEKDAY([@[o_orderdate]],2)+1", "date_trunc('week', o_orderdate)::DATE"), ("mod_zero", "=MOD([@[o_custkey]],[@[o_custkey]]-[@[o_custkey]])", "NULL::BIGINT"),
+    ("if_mixed", '=IF([@[o_custkey]]>50,"much",[@[o_custkey]])', "CASE WHEN o_custkey > 50 THEN 'much' ELSE o_custkey::VARCHAR END"), ("weekday_refused", "=WEEKDAY([@[o_orderdate]],2)", "NULL::DOUBLE"), ("datedif_refused", '=DATEDIF([@[o_orderdate]],TODAY(),"ym")', "NULL::DOUBLE"), ("datedif_months", '=DATEDIF([@[o_orderdate]],TODAY(),"m")', "date_sub('month', o_orderdate::DATE, DATE '2024-01-31')"),
+    ("running_total_all", '=SUMIFS([o_custkey],[o_totalprice],"<="&[@[o_totalprice]])', "sum(o_custkey) OVER (ORDER BY o_totalprice RANGE UNBOUNDED PRECEDING)"), ("count_above", '=COUNTIFS([o_totalprice],">"&[@[o_totalprice]],[o_orderstatus],"F")', "(SELECT count(*) FROM orders b WHERE b.o_totalprice > orders.o_totalprice AND b.o_orderstatus = 'F')"),
+    ("sum_in_range", '=SUMIFS([o_custkey],[o_totalprice],">="&[@[o_totalprice]]-5000,[o_totalprice],"<"&[@[o_totalprice]]+5000)', "(SELECT sum(b.o_custkey) FROM orders b WHERE b.o_totalprice >= orders.o_totalprice - 5000 AND b.o_totalprice < orders.o_totalprice + 5000)"),
+    ("max_before", '=MAXIFS([o_totalprice],[o_custkey],[@[o_custkey]],[o_orderdate],"<"&[@[o_orderdate]])', "coalesce((SELECT max(b.o_totalprice) FROM orders b WHERE b.o_custkey = orders.o_custkey AND b.o_orderdate < orders.o_orderdate), 0)"), ("find_from", '=FIND("-",[@[o_orderpriority]]&"-",3)', "instr(substr(o_orderpriority || '-', 3), '-') + 2"),
+):
+    formula(_f, "orders", _text, _sql)
+
+
+def _cells_book(t: Callable[[str], DataFrame]) -> Workbook:
+    """orders with blanks and with dates as texts of 8 digits, and a table of parameters."""
+    book = _book(t)
+    book.tables["orders"] = t("orders").selectExpr("o_orderkey", "nullif(o_custkey % 3, 0) AS q", "nullif(o_orderstatus, 'F') AS st", "date_format(o_orderdate, 'yyyyMMdd') AS day")
+    book.tables["Parameters"] = t("nation").selectExpr("n_name AS name", "n_nationkey * 2 AS value")
+    book.read_cells("orders")
+    return book
+
+
+for _f, _text, _sql in (
+    ("blank", '=IF([@q]=0,1,0)+IF([@st]="",10,0)', "CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 0 END"), ("text_date", "=YEAR([@day])*100+MONTH([@day]+31)", "year(o_orderdate) * 100 + month(o_orderdate::DATE + 31)"),
+    ("parameters", '=[@[o_orderkey]]*XLOOKUP("nation_3",Parameters[name],Parameters[value])', "o_orderkey * (SELECT n_nationkey * 2 FROM nation WHERE lower(n_name) = 'nation_3')"), ("date_parts", "=DATE(LEFT([@day],4),MID([@day],5,2)+1,RIGHT([@day],2)-1)", "(date_trunc('year', o_orderdate)::DATE + to_months(month(o_orderdate)::INTEGER))::DATE + (day(o_orderdate)::INTEGER - 2)"),
+):
+    _on(f"xl_{_f}", f"SELECT o_orderkey, {_sql} AS v FROM orders", lambda t, _, x=_text: _cells_book(t).add("orders", v=x).select("o_orderkey", "v"))
+_on("xl_shared_joins", "SELECT o_orderkey, c_name AS a, c_acctbal AS b, sum(o_custkey) OVER () AS d, o_totalprice / c_acctbal AS e FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    lambda t, _: _book(t).add("orders", a="=XLOOKUP([@[o_custkey]],customer[c_custkey],customer[c_name])", b="=INDEX(customer[c_acctbal],MATCH([@[o_custkey]],customer[c_custkey],0))", d="=SUM([o_custkey])", e="=[@[o_totalprice]]/[@b]").select("o_orderkey", "a", "b", "d", "e"))
 formula("sumifs_other", "customer", '=SUMIFS(orders[o_orderkey],orders[o_custkey],[@[c_custkey]])+COUNTIFS(orders[o_custkey],[@[c_custkey]],orders[o_orderstatus],"F")', "coalesce(s, 0) + coalesce(f, 0)", "LEFT JOIN (SELECT o_custkey, sum(o_orderkey) AS s, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 formula("countifs_compared", "customer", '=COUNTIFS(nation[n_nationkey],"<"&[@[c_nationkey]],nation[n_regionkey],0)', "(SELECT count(*) FROM nation WHERE n_nationkey < c_nationkey AND n_regionkey = 0)")
 _on("xl_total_row", "SELECT sum(o_custkey) AS a, count(o_orderstatus) AS b, max(o_totalprice) AS c, min(o_totalprice) AS d FROM orders", lambda t, _: _book(t).total_row("orders", a=("o_custkey", 109), b=("o_orderstatus", 103), c=("o_totalprice", 104), d=("o_totalprice", 105)))
@@ -264,6 +368,9 @@ for _f, _text, _sql in (
     ("scalars", 'orders:A = Table.AddColumn(Source, "v", each Text.Middle([o_orderpriority], 2, 3) & Text.Combine({[o_orderstatus], "z"}, "/")), B = Table.AddColumn(A, "d", each Date.AddDays(Date.StartOfMonth([o_orderdate]), 3)), C = Table.SelectColumns(B, {"o_orderkey", "v", "d"}) in C', "SELECT o_orderkey, substr(o_orderpriority, 3, 3) || o_orderstatus || '/z' AS v, date_trunc('month', o_orderdate)::DATE + 3 AS d FROM orders"),
 ):
     m(_f, _text, _sql)
+_on("m_index_all_columns", "SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity) AS i FROM lineitem",
+    lambda t, _: PowerQuery({"lineitem": t("lineitem")}).run('let A = Table.Sort(lineitem, {{"l_extendedprice", Order.Descending}, {"l_orderkey", Order.Ascending}, {"l_partkey", Order.Ascending}, {"l_suppkey", Order.Ascending}, {"l_linenumber", Order.Ascending}, {"l_shipdate", Order.Ascending}, {"l_quantity", Order.Ascending}}), B = Table.AddIndexColumn(A, "i", 1, 1) in B'))
+m("expand_two", 'customer:A = Table.NestedJoin(Source, {"c_nationkey"}, nation, {"n_nationkey"}, "n", JoinKind.LeftOuter), B = Table.NestedJoin(A, {"c_custkey"}, orders, {"o_custkey"}, "o", JoinKind.LeftOuter), C = Table.ExpandTableColumn(B, "n", {"n_name"}), D = Table.ExpandTableColumn(C, "o", {"o_orderkey"}), E = Table.SelectColumns(D, {"c_custkey", "n_name", "o_orderkey"}) in E', "SELECT c_custkey, n_name, o_orderkey FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey")
 
 # Pivot tables
 
@@ -288,5 +395,6 @@ pivot("hand_groups", "SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN 'known'
 pivot("calculated_field", "SELECT o_orderstatus, round(sum(o_totalprice) / sum(o_custkey), 6) AS r FROM orders GROUP BY 1", Pivot((_st,), (), (Value("r", formula="round(try_divide(sum_o_totalprice, sum_o_custkey), 6)"),)))
 pivot("filters", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority <> '5-LOW' AND o_totalprice BETWEEN 10 AND 90000 GROUP BY 1", Pivot((_pr,), (), (_n,), keep={"o_orderstatus": ("F", "P")}, drop={"o_orderpriority": ("5-LOW",)}, between={"o_totalprice": (10, 90000)}))
 pivot("top_items", "WITH t AS (SELECT o_custkey, rank() OVER (ORDER BY sum(o_orderkey) DESC) AS p FROM orders GROUP BY 1) SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM t WHERE p <= 7) GROUP BY 1", Pivot((Field("o_custkey"),), (), (_n,), top=("o_custkey", 7, "o_orderkey")))
+pivot("calculated_item", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 UNION ALL SELECT 'open share', o_orderpriority, count(*) FILTER (o_orderstatus = 'O') / count(*) FILTER (o_orderstatus = 'F') FROM orders GROUP BY 2", Pivot((_st,), (_pr,), (_n,), items={"o_orderstatus": {"open share": '"O" / "F"'}}))
 _on("pivot_totals", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", lambda t, _: Pivot((_st,), (_pr,), (_n,)).totals(t("orders"), "o_orderstatus"))
 _on("pivot_getpivotdata", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) AS v FROM orders", lambda t, _: Pivot((_st,), (_pr,), (_n,)).value_of(t("orders"), "n", "v", o_orderstatus="o_orderstatus").select("o_orderkey", "v"))

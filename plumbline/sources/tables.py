@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 from plumbline.errors import GuardRefused
 from plumbline.functions.expressions import Expr, family, ref
 
+#: The table property that holds a key.
+KEY = "plumbline.key"
 _SIMPLE = frozenset("tinyint smallint int integer bigint float double string boolean binary date timestamp timestamp_ntz".split())
 
 
@@ -126,7 +128,9 @@ def describe_table(spark: SparkSession, name: str) -> Table:
     """A reference from the catalog: columns, partitions, format, location and buckets."""
     columns = spark.catalog.listColumns(name)
     facts = {r.col_name.strip(): r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
-    return Table(name, {c.name: c.dataType for c in columns}, partitioned_by=[c.name for c in columns if c.isPartition], location=facts.get("Location"), stored_as=facts.get("Provider", "parquet"))
+    properties = dict(spark.sql(f"SHOW TBLPROPERTIES {name}").collect())
+    key = properties.get(KEY)
+    return Table(name, {c.name: c.dataType for c in columns}, partitioned_by=[c.name for c in columns if c.isPartition], key=None if key is None else [k for k in key.split(",") if k], location=facts.get("Location"), stored_as=facts.get("Provider", "parquet"))
 
 
 def add_references(spark: SparkSession, names: Iterable[str]) -> tuple[dict[str, Table], dict[str, str]]:
@@ -180,8 +184,12 @@ def check_reference(t: Table, df: DataFrame) -> Verdict:
 
 
 def propose_key(df: DataFrame, partitions: Iterable[str] = ()) -> tuple[str, ...] | None:
-    """The first id-like column, alone or with the partition columns, whose values tell all rows apart."""
+    """The first id-like column, alone or with the partition columns, whose values tell all rows apart; of a partitioned
+    table, those of its latest partition."""
     partitions = tuple(partitions)
+    for p in partitions[:1]:
+        latest = df.agg(F.max(p)).first()[0]
+        df = df.where(F.col(p).eqNullSafe(F.lit(latest)))
     named = [c for c, dtype in df.dtypes if c not in partitions and (c.lower().endswith(("id", "key")) or dtype in ("bigint", "int"))]
     if not named:
         return None

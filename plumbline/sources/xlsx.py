@@ -30,15 +30,17 @@ class SheetTable:
     typed_over: dict[str, list[int]] = field(default_factory=dict)  # rows without the column's formula
     totals: dict[str, str] = field(default_factory=dict)  # function of the Total Row, by column
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """The rows; a column is double, date, boolean or, if its values are of several kinds, string. Errors are NULL."""
+    def frame(self, spark: SparkSession, key: str | None = None) -> DataFrame:
+        """The rows; a column is double, date, boolean or, if its values are of several kinds, string. Errors are NULL.
+        key: a column with the row's number, from 0."""
         kinds = []
         for i in range(len(self.columns)):
             seen = {type(r[i]) for r in self.rows if r[i] is not None and r[i] not in _ERRORS}
             kinds.append("double" if seen and seen <= {int, float} else "date" if seen == {datetime.date} else "boolean" if seen == {bool} else "string")
         made = {"double": float, "string": str}
         rows = [tuple(None if v is None or v in _ERRORS else made.get(k, lambda x: x)(v) for v, k in zip(r, kinds, strict=True)) for r in self.rows]
-        return spark.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in zip(self.columns, kinds, strict=True)))
+        ddl = ", ".join(f"`{c}` {k}" for c, k in zip(self.columns, kinds, strict=True))
+        return spark.createDataFrame(rows, ddl) if key is None else spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"`{key}` long, {ddl}")
 
 
 @dataclass
