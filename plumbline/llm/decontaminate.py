@@ -5,7 +5,7 @@ occurrence of a window are hit. Windows are sets of positioned shingles of SHING
 
 1. Shingles are ordered by rarity: one pass counts how often the documents hold each shingle of the benchmark.
 2. An occurrence holds all of a window's shingles, so the prefix that must be joined is its single rarest one. A second
-   pass meets the documents with these prefixes only. A literal filter of bounded size passes every position that holds
+   pass meets the documents with these prefixes only. A bit filter of bounded size passes every position that holds
    one, and few others; rows are made for those positions alone.
 3. Length and positional bounds give the window's one possible place, which must lie within the document; there the
    document's words are compared with the window's, all of them in order, which is exact containment.
@@ -35,7 +35,7 @@ SHARE = 20
 #: Prefixes that are broadcast with their windows, at most, and the bytes of those windows.
 BROADCAST_ROWS = 250_000
 BROADCAST_BYTES = 64 << 20
-#: Bits of the slots of the literal filter: 32 slots a prefix within these bounds.
+#: Logarithms of the filter's size: 32 bits a prefix within these bounds, so 512 kB at most.
 FILTER_BITS = (16, 22)
 #: What separates words, once A-Z are lower-cased.
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,27 +81,27 @@ def distinct_windows(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Filter:
-    """Which hashes may be listed, as a literal that documents are tested with where they are read: each listed hash sets
-    two slots. However many hashes there are, it has at most 2 ** FILTER_BITS[1] slots, of a byte each; where it is full
-    it passes more, never less."""
+    """Which hashes may be listed: a table of one row with an array of bits, which each hash sets two of. Documents are
+    tested with it where they are read. However many hashes there are, it has at most 2 ** FILTER_BITS[1] bits; where it is
+    full it passes more, never less."""
 
     def __init__(self, hashes: DataFrame, n: int):
         """hashes: h."""
         self.bits = min(max((32 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
         slots = hashes.select(F.explode(F.array(*self.slots(F.col("h")))).alias("s"))
-        rows = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits")).collect()
-        spread = [bytes(b >> i & 1 for i in range(8)) for b in range(256)]
-        out = bytearray(1 << self.bits)
-        for r in rows:
-            out[64 * r.word : 64 * r.word + 64] = b"".join(spread[b] for b in (r.bits & (1 << 64) - 1).to_bytes(8, "little"))
-        self.literal = F.lit(bytes(out))
+        words = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("set"))
+        every = hashes.sparkSession.range(1 << self.bits - 6).select(F.col("id").cast("int").alias("word"))
+        listed = F.sort_array(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
+        self.row = written(every.join(F.broadcast(words), "word", "left").agg(listed.getField("set").alias("slots")), "filter")
 
     def slots(self, h: Column) -> list[Column]:
         mask = F.lit((1 << self.bits) - 1)
         return [h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 64 - self.bits).cast("int")]
 
     def passes(self, h: Column) -> Column:
-        first, second = (F.substr(self.literal, s + 1, F.lit(1)) == F.lit(b"\x01") for s in self.slots(h))
+        """Of rows that were joined to the table."""
+        word = lambda s: F.get(F.col("slots"), F.shiftright(s, 6))
+        first, second = (F.call_function("shiftright", word(s), s.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1 for s in self.slots(h))
         return first & second
 
 
@@ -111,7 +111,8 @@ def positions(documents: DataFrame, sizes: list[int], keep: Filter) -> DataFrame
     out = documents.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     out = out.select("*", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
     out = out.select("*", *[_hashes(F.col("wh"), F.col("n"), k).alias(f"hs_{k}") for k in sizes]).drop("wh")
-    return out.select("*", *[F.array_compact(F.transform(f"hs_{k}", lambda h, i: F.when(keep.passes(h), i))).alias(f"at_{k}") for k in sizes])
+    out = out.join(F.broadcast(keep.row))  # one row
+    return out.select("*", *[F.array_compact(F.transform(f"hs_{k}", lambda h, i: F.when(keep.passes(h), i))).alias(f"at_{k}") for k in sizes]).drop("slots")
 
 
 def places(sizes: list[int], around: bool) -> Column:
