@@ -153,7 +153,7 @@ for _f, _args, _sql in (
     ("lpad", (_t, 12, "*"), "lpad(o_orderpriority, 12, '*')"), ("rpad", (_t, 12, "*"), "rpad(o_orderpriority, 12, '*')"), ("regexp_extract", (_t, "([A-Z]+)", 1), "regexp_extract(o_orderpriority, '([A-Z]+)', 1)"),
     ("regexp_replace", (_t, "[0-9]", "#"), "regexp_replace(o_orderpriority, '[0-9]', '#', 'g')"), ("rlike", (_t, "^[12]"), "regexp_matches(o_orderpriority, '^[12]')"), ("translate", (_t, "HI", "hi"), "translate(o_orderpriority, 'HI', 'hi')"),
     ("reverse", (_t,), "reverse(o_orderpriority)"), ("repeat", (o.o_orderstatus, 3), "repeat(o_orderstatus, 3)"), ("ascii", (_t,), "ascii(o_orderpriority)"), ("md5", (_t,), "md5(o_orderpriority)"), ("sha2", (_t, 256), "sha256(o_orderpriority)"),
-    ("base64", (sql_function("unhex", "414243"),), "'QUJD'"), ("get_json_object", ('{"k": 1}', "$.k"), "'1'"), ("nvl", (sql_function("nullif", o.o_orderstatus, "F"), "x"), "coalesce(nullif(o_orderstatus, 'F'), 'x')"),
+    ("base64", (sql_function("unhex", sql_function("hex", _t)),), "base64(o_orderpriority::BLOB)"), ("get_json_object", (sql_function("concat", '{"k": "', _t, '"}'), "$.k"), "o_orderpriority"), ("nvl", (sql_function("nullif", o.o_orderstatus, "F"), "x"), "coalesce(nullif(o_orderstatus, 'F'), 'x')"),
     ("coalesce", (sql_function("nullif", o.o_orderstatus, "F"), "x"), "coalesce(nullif(o_orderstatus, 'F'), 'x')"), ("nullif", (o.o_orderstatus, "F"), "nullif(o_orderstatus, 'F')"), ("greatest", (_k, 50000.0), "greatest(o_totalprice, 50000.0)"),
     ("least", (_k, 50000.0), "least(o_totalprice, 50000.0)"), ("date_format", (_d, "yyyy-MM"), "strftime(o_orderdate, '%Y-%m')"), ("datediff", (_d, "1995-01-01"), "date_diff('day', DATE '1995-01-01', o_orderdate::DATE)"),
     ("date_add", (sql_function("to_date", _d), 10), "(o_orderdate::DATE + 10)"), ("date_sub", (sql_function("to_date", _d), 10), "(o_orderdate::DATE - 10)"), ("add_months", (sql_function("to_date", _d), 2), "strftime(o_orderdate::DATE + INTERVAL 2 MONTH, '%Y-%m-%d')"),
@@ -164,7 +164,7 @@ for _f, _args, _sql in (
     ("floor", (_k,), "floor(o_totalprice)"), ("ceil", (_k,), "ceil(o_totalprice)"), ("ceiling", (_k,), "ceil(o_totalprice)"), ("sqrt", (_k,), "sqrt(o_totalprice)"), ("exp", (_k / 100000,), "exp(o_totalprice / 100000)"), ("ln", (_k,), "ln(o_totalprice)"), ("log", (2, _k), "ln(o_totalprice) / ln(2)"),
     ("log10", (_k,), "log10(o_totalprice)"), ("log2", (_k,), "log2(o_totalprice)"), ("pow", (_k, 2), "pow(o_totalprice, 2)"), ("power", (_k, 0.5), "pow(o_totalprice, 0.5)"), ("pmod", (-o.o_custkey, 7), "((-o_custkey % 7) + 7) % 7"), ("sign", (_k - 100000,), "sign(o_totalprice - 100000)"),
     ("negative", (_k,), "-o_totalprice"), ("positive", (_k,), "o_totalprice"), ("hex", (o.o_orderkey,), "upper(to_hex(o_orderkey))"), ("size", (sql_function("split", _t, "-"),), "len(string_split(o_orderpriority, '-'))"),
-    ("array_contains", (sql_function("split", _t, "-"), "HIGH"), "list_contains(string_split(o_orderpriority, '-'), 'HIGH')"), ("space", (2,), "'  '"), ("format_number", (sql_function("floor", _k), 0), "format('{:,}', floor(o_totalprice)::BIGINT)"),
+    ("array_contains", (sql_function("split", _t, "-"), "HIGH"), "list_contains(string_split(o_orderpriority, '-'), 'HIGH')"), ("space", (sql_function("length", _t),), "repeat(' ', length(o_orderpriority))"), ("format_number", (sql_function("floor", _k), 0), "format('{:,}', floor(o_totalprice)::BIGINT)"),
     ("months_between", (sql_function("to_date", _d), "1995-01-31"), "round((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 + CASE WHEN o_orderdate::DATE = last_day(o_orderdate) OR day(o_orderdate) = 31 THEN 0 ELSE (day(o_orderdate) - 31) / 31.0 END, 8)"),
     ("initcap", (_t,), "array_to_string(list_transform(string_split(lower(o_orderpriority), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"), ("hash", (_t,), None), ("split", (_t, "-"), "string_split(o_orderpriority, '-')"),
     ("sort_array", (sql_function("split", _t, ""),), "list_sort(regexp_extract_all(o_orderpriority, '.'))"), ("unhex", (sql_function("hex", _t),), "o_orderpriority::BLOB"), ("unbase64", (sql_function("base64", sql_function("unhex", sql_function("hex", _t))),), "o_orderpriority::BLOB"),
@@ -356,7 +356,7 @@ for _f, _text, _sql in (
     ("add_rename_remove", 'nation:A = Table.AddColumn(Source, "up", each Text.Lower([n_name]) & "!"), B = Table.RenameColumns(A, {{"n_nationkey", "k"}}), C = Table.RemoveColumns(B, {"n_regionkey"}), D = Table.ReorderColumns(C, {"up", "k", "n_name"}) in D', "SELECT lower(n_name) || '!' AS up, n_nationkey AS k, n_name FROM nation"),
     ("transform_replace", 'nation:A = Table.TransformColumns(Source, {{"n_name", Text.Lower}, {"n_regionkey", each _ * 10}}), B = Table.ReplaceValue(A, "nation", "land", Replacer.ReplaceText, {"n_name"}), C = Table.DuplicateColumn(B, "n_name", "copy") in C', "SELECT n_nationkey, replace(lower(n_name), 'nation', 'land') AS n_name, n_regionkey * 10 AS n_regionkey, replace(lower(n_name), 'nation', 'land') AS copy FROM nation"),
     ("nested_join", 'nation:A = Table.NestedJoin(Source, {"n_regionkey"}, region, {"r_regionkey"}, "r", JoinKind.LeftOuter), B = Table.ExpandTableColumn(A, "r", {"r_name"}, {"region"}) in B', "SELECT n_nationkey, n_name, n_regionkey, r_name AS region FROM nation LEFT JOIN region ON r_regionkey = n_regionkey"),
-    ("anti_join", 'customer:A = Table.NestedJoin(Source, {"c_custkey"}, orders, {"o_custkey"}, "o", JoinKind.LeftAnti), B = Table.SelectColumns(A, {"c_custkey"}) in B', "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    ("anti_join", 'customer:A = Table.NestedJoin(Source, {"c_custkey"}, supplier, {"s_suppkey"}, "s", JoinKind.LeftAnti), B = Table.SelectColumns(A, {"c_custkey"}) in B', "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"),
     ("semi_join", 'customer:A = Table.SelectRows(Source, each List.Contains(orders[o_custkey], [c_custkey])), B = Table.SelectColumns(A, {"c_custkey"}) in B', "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
     ("cross", 'region:A = Table.AddColumn(Source, "n", each nation), B = Table.ExpandTableColumn(A, "n", {"n_name"}) in B', "SELECT r_regionkey, r_name, n_name FROM region, nation"),
     ("combine_distinct", 'nation:A = Table.SelectColumns(Source, {"n_regionkey"}), B = Table.RenameColumns(region, {{"r_regionkey", "n_regionkey"}}), C = Table.Distinct(Table.Combine({A, B})) in C', "SELECT DISTINCT n_regionkey, r_name FROM (SELECT n_regionkey, NULL AS r_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region)"),
