@@ -102,28 +102,37 @@ def _group(token: str) -> str | None:
 
 def _shape(token: str) -> str:
     out = []
-    for c in token[:40]:
+    for c in token:
         k = "9" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
     return "".join(out)
 
 
+def words_before(text: str, start: int) -> list[str]:
+    """The last two words before `start`, whole, in lower case."""
+    size = 64
+    while True:
+        found = text[max(0, start - size) : start].split()
+        if len(found) > 2 or size >= start:  # the first of them may be cut
+            return [w.lower() for w in found[-2:]]
+        size *= 2
+
+
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def features(text: str, spans: list[tuple[int, int]], at: int, kinds: set[str]) -> list[int]:
+def features(text: str, spans: list[tuple[int, int]], shapes: list[str], at: int, kinds: set[str]) -> list[int]:
     """Feature buckets of one node: shape, counts, the words before, neighbours' shapes, and the base kinds over it."""
     start, end = spans[at]
     token = text[start:end]
     digits = sum(c.isdigit() for c in token)
-    before = text[max(0, start - 24) : start].lower().split()[-2:]
-    found = ["bias", "s:" + _shape(token), f"d:{min(digits, 20)}", f"l:{min(len(token), 40) // 2}", f"dot:{min(token.count('.'), 4)}", f"at:{'@' in token}", f"plus:{token[0] == '+'}", *("w:" + w for w in before)]
+    found = ["bias", "s:" + shapes[at], f"d:{min(digits, 20)}", f"l:{min(len(token), 40) // 2}", f"dot:{min(token.count('.'), 4)}", f"at:{'@' in token}", f"plus:{token[0] == '+'}", *("w:" + w for w in words_before(text, start))]
     if at and spans[at - 1][1] + 1 == start:
-        found.append("p:" + _shape(text[slice(*spans[at - 1])]))
+        found.append("p:" + shapes[at - 1])
     if at + 1 < len(spans) and spans[at + 1][0] - 1 == end:
-        found.append("n:" + _shape(text[slice(*spans[at + 1])]))
+        found.append("n:" + shapes[at + 1])
     found += ["base:" + k for k in sorted(kinds)]
     return [_bucket(f) for f in found]
 
@@ -157,7 +166,8 @@ def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
             if g in last and spans[last[g]][1] + 1 != start:  # else the chain edge joins them
                 edges.append((last[g], i, 1))
             last[g] = i
-    return Graph(spans, kinds, [features(text, spans, i, k) for i, k in enumerate(kinds)], edges)
+    shapes = [_shape(text[start:end]) for start, end in spans]
+    return Graph(spans, kinds, [features(text, spans, shapes, i, k) for i, k in enumerate(kinds)], edges)
 
 
 @dataclass

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import wave
 import zlib
 
@@ -72,6 +73,19 @@ def test_equal_tokens_with_prose_between_share_a_skip_edge():
     assert pii.graph(f"{token}  {token}{prose}{token} 7 {token}", []).edges == [(0, 1, 1), (1, 2, 1), (2, 3, 0), (3, 4, 0), (2, 4, 1)]
 
 
+def test_features_see_whole_tokens_and_whole_words_before():
+    token = "a1" * 40
+    assert pii._shape(token + "-") != pii._shape(token + "+")
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "x" * 70, "7"], size=30))
+        for at in range(len(text) + 1):
+            assert pii.words_before(text, at) == text[:at].lower().split()[-2:]
+    began = time.monotonic()
+    g = pii.graph("word " * 100_000 + "x" * 500_000 + " 1 2 3" * 20_000, [])
+    assert len(g.spans) == 60_000 and time.monotonic() - began < 20
+
+
 def test_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(1)
     model = pii.Model(rng.normal(size=(pii.BUCKETS, 5)), rng.normal(size=(2, 5, 5)))
