@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import GuardRefused
 from plumbline.functions.expressions import quoted
 from plumbline.plans.statements import Catalog, Derived, Stack, Statement
-from plumbline.sources.tables import KEY, Table
+from plumbline.sources.tables import KEY, Table, partitions_of
 
 _log: str | None = None
 #: Named groups of session settings.
@@ -213,12 +213,12 @@ def drop_table(spark: SparkSession, t: Table) -> None:
     _ran(spark, f"DROP TABLE IF EXISTS {t.name}" + (" PURGE" if t.purge else ""))
 
 
-def drop_partitions(spark: SparkSession, t: Table, where: Callable[[dict[str, str]], bool]) -> list[dict[str, str]]:
-    """Drops the partitions whose values pass the test, one by one; returns them."""
-    rows = [dict(p.split("=", 1) for p in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {t.name}").collect()]
-    gone = [r for r in rows if where(r)]
+def drop_partitions(spark: SparkSession, t: Table, where: Callable[[dict[str, str | None]], bool]) -> list[dict[str, str | None]]:
+    """Drops the partitions whose values, texts or None, pass the test, one by one; returns them."""
+    gone = [r for r in partitions_of(spark, t.name) if where(r)]
     for r in gone:
-        _ran(spark, f"ALTER TABLE {t.name} DROP IF EXISTS PARTITION ({', '.join(f'{quoted(p)}={_text(v)}' for p, v in r.items())})")
+        spec = ", ".join(f"{quoted(p)}={'NULL' if v is None else _text(v)}" for p, v in r.items())
+        _ran(spark, f"ALTER TABLE {t.name} DROP IF EXISTS PARTITION ({spec})")
     return gone
 
 

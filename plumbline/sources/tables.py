@@ -6,6 +6,7 @@ import difflib
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,10 +145,19 @@ def add_references(spark: SparkSession, names: Iterable[str]) -> tuple[dict[str,
     return made, failed
 
 
-def latest_partition(spark: SparkSession, name: str, column: str, default: str = "__HIVE_DEFAULT_PARTITION__"):
-    """The largest value of a partition column, from the catalog alone; compared as dates, else as integers, else as text."""
+#: What stands for NULL in the name of a partition's folder. Fixed value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partitions_of(spark: SparkSession, name: str) -> list[dict[str, str | None]]:
+    """The values of each partition as texts, NULL as None, from the catalog alone."""
     rows = [dict(p.split("=", 1) for p in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-    values = [r[column] for r in rows if r.get(column, default) != default]
+    return [{unquote(p): None if v == NO_VALUE else unquote(v) for p, v in r.items()} for r in rows]
+
+
+def latest_partition(spark: SparkSession, name: str, column: str):
+    """The largest value of a partition column, from the catalog alone; compared as dates, else as integers, else as text."""
+    values = [v for r in partitions_of(spark, name) if (v := r[column]) is not None]
     if not values:
         raise GuardRefused(f"{name} has no partition of {column}.")
     if all(re.fullmatch(r"-?\d+", v) for v in values):

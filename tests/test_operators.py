@@ -76,6 +76,19 @@ def test_catalog_upkeep(spark, tmp_path):
         sinks.drop_table(spark, t)
 
 
+def test_partitions_of_odd_values_are_found_and_dropped(spark, tmp_path):
+    t = Table("odd_parts", {"k": "int", "at": "string"}, partitioned_by=["at"], location=f"file://{tmp_path}/odd")
+    sinks.create_table(spark, t)
+    try:
+        spark.sql("INSERT INTO odd_parts VALUES (1, '2024-01-01 10:30'), (2, 'a/b=c%25'), (3, NULL), (4, 'o''clock')")
+        assert latest_partition(spark, "odd_parts", "at") == "o'clock"
+        assert sinks.drop_partitions(spark, t, lambda p: p["at"] is None or p["at"] != "a/b=c%25")
+        assert [r.k for r in spark.table("odd_parts").collect()] == [2]
+        assert sinks.drop_partitions(spark, t, lambda p: True) == [{"at": "a/b=c%25"}] and spark.sql("SHOW PARTITIONS odd_parts").count() == 0
+    finally:
+        sinks.drop_table(spark, t)
+
+
 def test_stream_of_batches_can_be_retried(spark, sales, tmp_path):
     t = target(tmp_path)
     write = overwrite_batches(t, by_day, "sales")
