@@ -14,21 +14,26 @@ from plumbline.functions.expressions import (
     set_clock, sql_function, starts_with, sum_of, unchecked_column, unchecked_condition, week_start, window,
 )
 from plumbline.plans.statements import (
-    ANTI_JOIN, AS, CROSS_JOIN, EXCEPT, FROM, FULL_JOIN, GROUP_BY, HAVING, INTERSECT, JOIN, LEFT_JOIN, LIMIT, ORDER_BY, SELECT, SELECT_DISTINCT, SEMI_JOIN, UNION, UNION_ALL, WHERE, cube, derived, first_look,
-    grouping_sets, rollup, statement,
+    ANTI_JOIN, AS, CROSS_JOIN, EXCEPT, FROM, FULL_JOIN, GROUP_BY, HAVING, INTERSECT, JOIN, LEFT_JOIN, LIMIT, ORDER_BY, RIGHT_JOIN, SELECT, SELECT_DISTINCT, SEMI_JOIN, UNION, UNION_ALL, WHERE, cube, derived, first_look,
+    grouping_sets, rollup, run_query, statement, unchecked_derived,
 )
 
-from plumbline.operators.batches import run_batch
-from plumbline.operators.lineage import edges_frame
+from plumbline.errors import Refused
+from plumbline.functions.values import date_text, run_value, tag_text, variable
+from plumbline.operators.batches import classify, in_order, run_batch, split_statements
+from plumbline.operators.lineage import PythonStep, build_run, changes, edges_frame, logic, run_workflow, table_edges
 from plumbline.operators.pivots import Field, Pivot, Value
 from plumbline.operators.power_query import PowerQuery
-from plumbline.operators.sinks import insert_into, insert_overwrite, seed_copy
-from plumbline.operators.verify import compare_batch, compare_copies, differences, near
+from plumbline.operators.sinks import (
+    add_columns, check_write, compute_statistics, create_table, drop_partitions, insert_into, insert_overwrite, move_to_own_folder, repair_partitions, seed_copy, set_properties, unchecked_sql,
+)
+from plumbline.operators.verify import check_workbook, compare_batch, compare_copies, differences, near
 from plumbline.operators.workbooks import Workbook
-from plumbline.plans.converting import convert_query
+from plumbline.plans.converting import convert_query, typed_selected_columns
 from plumbline.plans.rendering import to_sql
 from plumbline.sources.shared import new_place
-from plumbline.sources.tables import Table, check_key
+from plumbline.sources.tables import Table, add_references, check_key, check_reference, describe_table, latest_partition, propose_key
+from plumbline.sources.xlsx import Book, SheetTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,6 +281,170 @@ def _static(p: Table, t: Callable[[str], DataFrame], spark: SparkSession) -> Non
     insert_overwrite(p, _none, t, partition={"st": "O"})
 
 
+# Tables of the catalog, under names that nothing else has
+
+_PARTS_SQL = "SELECT o_orderkey AS k, o_totalprice AS v, o_orderstatus AS st FROM orders"
+
+
+def _kept(name: str, sql: str, use: Callable[[Table, SparkSession], DataFrame]) -> None:
+    """Orders by status as a table of the catalog, and what comes of it."""
+
+    def run(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
+        place = new_place(spark, name)
+        kept = Table(f"kept_{place[-32:]}", {"k": "bigint", "v": "double", "st": "string"}, partitioned_by=["st"], key=["k"], location=place, descriptions={"v": "an order's total"}, properties={"keeper": "o'neil"})
+        create_table(spark, kept)
+        insert_overwrite(kept, _sale, t)
+        repair_partitions(spark, kept)
+        return use(kept, spark)
+
+    _on(name, sql, run)
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _moved(p: Table, spark: SparkSession) -> DataFrame:
+    own = Table(p.name, p.columns, partitioned_by=p.partitioned_by, location=new_place(spark, "own"))
+    move_to_own_folder(spark, p.name, own)
+    return spark.read.schema("k bigint, v double, st string").parquet(own.location)
+
+
+_kept("admin_create_and_repair", _PARTS_SQL, lambda p, spark: spark.table(p.name))
+_kept("admin_drop_partitions", f"{_PARTS_SQL} WHERE o_orderstatus <> 'F'", lambda p, spark: (drop_partitions(spark, p, lambda r: r["st"] == "F"), spark.table(p.name))[1])
+_kept("admin_add_columns", "SELECT o_orderkey AS k, o_totalprice AS v, NULL::DOUBLE AS w, o_orderstatus AS st FROM orders", lambda p, spark: (add_columns(spark, Table(p.name, {"k": "bigint", "v": "double", "w": "double", "st": "string"})), spark.table(p.name))[1])
+_kept("admin_statistics", "SELECT count(*) AS n FROM orders", lambda p, spark: (compute_statistics(spark, p), spark.sql(f"DESCRIBE TABLE EXTENDED {p.name}").where("col_name = 'Statistics'").selectExpr("CAST(regexp_extract(data_type, '([0-9]+) rows', 1) AS BIGINT) AS n"))[1])
+_kept("admin_properties", "SELECT * FROM (VALUES ('keeper', 'o''neil'), ('note', 'it''s')) t(key, value)", lambda p, spark: (set_properties(spark, Table(p.name, p.columns, properties={"note": "it's"})), spark.sql(f"SHOW TBLPROPERTIES {p.name}").where("key IN ('keeper', 'note')"))[1])
+_kept("admin_move_to_own_folder", _PARTS_SQL, _moved)
+_kept("source_latest_partition", f"{_PARTS_SQL} WHERE o_orderstatus = (SELECT max(o_orderstatus) FROM orders)", lambda p, spark: statement(SELECT(p.k, p.v, p.st), FROM(p), WHERE(equals(p.st, latest_partition(spark, p.name, "st")))).lower(spark))
+_kept("source_describe_table", "SELECT * FROM (VALUES ('k', 'bigint', false, true), ('v', 'double', false, false), ('st', 'string', true, false)) t(name, type, is_partition, is_key)",
+      lambda p, spark: _rows(spark, [(c, d, c in found.partitioned_by, c in found.key) for found in [describe_table(spark, p.name)] for c, d in found.columns.items()], "name string, type string, is_partition boolean, is_key boolean"))
+_kept("source_add_references", "SELECT * FROM (VALUES ('a table of the catalog', true), ('no_such_table', false)) t(name, made)",
+      lambda p, spark: _rows(spark, [(n.replace(p.name, "a table of the catalog"), i == 0) for i, names in enumerate(add_references(spark, [p.name, "no_such_table"])) for n in names], "name string, made boolean"))
+_on("source_check_reference", "SELECT * FROM (VALUES ('o_orderkey is bigint, not int'), ('o_clerk is gone'), ('o_custkey is new')) t(line)",
+    lambda t, spark: _rows(spark, [(x,) for x in check_reference(Table("orders", {"o_orderkey": "int", "o_clerk": "string"}), t("orders").select("o_orderkey", "o_custkey")).lines], "line string"))
+_on("source_proposed_key", " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN count(*) = count(DISTINCT {k}) THEN '{k}' END AS key FROM {n}" for n, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("events", "event_id"))),
+    lambda t, spark: _rows(spark, [(n, ",".join(propose_key(t(n)) or ())) for n in ("orders", "customer", "nation", "events")], "name string, key string"))
+_on("source_sheet_rows", "SELECT * FROM (VALUES (1.0::DOUBLE, 'a', DATE '2024-01-01', true), (2.5, NULL, DATE '2024-02-29', false)) t(id, name, day, done)",
+    lambda t, spark: SheetTable("x", ["id", "name", "day", "done"], [[1, "a", datetime.date(2024, 1, 1), True], [2.5, "#N/A", datetime.date(2024, 2, 29), False]]).frame(spark))
+_raw = unchecked_derived("raw", "SELECT c_nationkey, max_by(c_name, c_acctbal) AS richest FROM raw_customer GROUP BY c_nationkey", {"c_nationkey": "int", "richest": "string"}, key=["c_nationkey"])
+_on("scan_unchecked_derived", "SELECT n_name, richest FROM nation JOIN (SELECT c_nationkey, max_by(c_name, c_acctbal) AS richest FROM customer GROUP BY 1) ON n_nationkey = c_nationkey",
+    lambda t, spark: (t("customer").createOrReplaceTempView("raw_customer"), statement(SELECT(n.n_name, _raw.richest), FROM(n), JOIN(_raw, ON=equals(n.n_nationkey, _raw.c_nationkey))).lower(t))[1])
+_on("sql_unchecked", "SELECT n_name FROM nation WHERE n_regionkey = 2", lambda t, spark: (t("nation").createOrReplaceTempView("raw_nation"), unchecked_sql(spark, "SELECT n_name FROM raw_nation WHERE n_regionkey = 2"))[1])
+_on("run_limited", "SELECT n_name, n_regionkey FROM nation", lambda t, _: run_query(statement(SELECT(n.n_name, n.n_regionkey), FROM(n)), t, rows=1000))
+
+# Values that are known when a statement is built
+
+query("calc_run_value", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 150000", lambda spark, sf_dir: statement(SELECT(o.o_orderkey), FROM(o), WHERE(at_least(o.o_totalprice, run_value(lambda x: x * 1000, 150)))).lower(catalog(spark, sf_dir)))
+query("calc_variable", "SELECT o_orderkey, 'EU' AS area, 7 AS days FROM orders", statement(SELECT(o.o_orderkey, AS(variable("area", default="US", values={"area": "EU"}), "area"), AS(variable("days", default=7), "days")), FROM(o)))
+query("filter_date_text", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-06-01' AND o_orderpriority <> 'it''s'", statement(SELECT(o.o_orderkey), FROM(o), WHERE(unchecked_condition(f"{{d}} >= {date_text(datetime.date(1998, 6, 1))} AND {{p}} <> {tag_text("it's")}", d=o.o_orderdate, p=o.o_orderpriority))))
+_on("sql_script_tags", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 90000.5", lambda t, spark: (t("orders").createOrReplaceTempView("raw_orders"), run_batch(spark, "CREATE TABLE tagged AS SELECT o_orderkey FROM raw_orders WHERE o_orderstatus = '<PARM=\"ST\"/>' AND o_totalprice > <PARM=\"LEAST\"/>", {"ST": "F", "LEAST": 90000.5})["tagged"])[1])
+
+# Steps of pandas, runs and lineage
+
+_per_order = statement(SELECT(o.o_orderkey, o.o_custkey, o.o_totalprice), FROM(o))
+
+
+def _spread(pdf):
+    """How far each row is above the least of its group."""
+    return pdf.assign(above=pdf["o_totalprice"] - pdf["o_totalprice"].min())[["o_orderkey", "above"]]
+
+
+def _halved(pdf):
+    return pdf.assign(above=pdf["o_totalprice"] / 2)[["o_orderkey", "above"]]
+
+
+_step_columns = {"o_orderkey": "bigint", "above": "double"}
+query("step_python_by", "SELECT o_orderkey, o_totalprice - min(o_totalprice) OVER (PARTITION BY o_custkey) AS above FROM orders", PythonStep(_per_order, _spread, _step_columns, by=["o_custkey"], key=["o_orderkey"]))
+query("step_python_rows", "SELECT o_orderkey, o_totalprice / 2 AS above FROM orders", PythonStep(_per_order, _halved, _step_columns, rows_apart=True, key=["o_orderkey"]))
+
+
+def _python_saved(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
+    place = Table("mart.spread", _step_columns, key=["o_orderkey"], location=new_place(spark, "spread"))
+    insert_overwrite(place, PythonStep(_per_order, _spread, _step_columns, by=["o_custkey"], key=["o_orderkey"]), t)
+    return spark.read.parquet(place.location)
+
+
+_on("step_python_saved", "SELECT o_orderkey, o_totalprice - min(o_totalprice) OVER (PARTITION BY o_custkey) AS above FROM orders", _python_saved)
+
+
+def _run(t: Callable[[str], DataFrame], spark: SparkSession) -> DataFrame:
+    """Two tables, the second of which reads the first, as steps of a run that are given in the wrong order."""
+    big = Table("mart.big", {"k": "bigint", "c": "bigint"}, key=["k"], location=new_place(spark, "big"))
+    per = Table("mart.per", {"c": "bigint", "n": "bigint"}, key=["c"], location=new_place(spark, "per"))
+
+    def build(least: float) -> dict:
+        first = statement(SELECT(AS(o.o_orderkey, "k"), AS(o.o_custkey, "c")), FROM(o), WHERE(at_least(o.o_totalprice, least)))
+        second = statement(SELECT(big.c, AS(count_rows(), "n")), FROM(big), GROUP_BY(big.c))
+        return {"per": ({"big"}, lambda: insert_overwrite(per, second, lambda _: spark.read.parquet(big.location))), "big": (set(), lambda: insert_overwrite(big, first, t))}
+
+    build_run(build, {"least": float})(least="100000")
+    return spark.read.parquet(per.location)
+
+
+def _workflow(spark: SparkSession) -> DataFrame:
+    """A run that fails in its second step, and goes on from there."""
+    done: list[str] = []
+    ready: list[str] = []
+    steps = {"read": lambda: ready.append("read"), "check": lambda: ready.index("fixed"), "write": lambda: ready.append("write")}
+    try:
+        run_workflow(steps, done, done.append)
+    except ValueError:
+        ready.append("fixed")
+    again = run_workflow(steps, list(done), done.append)
+    return _rows(spark, [(i, s, s in again) for i, s in enumerate(done)], "place int, step string, second_run boolean")
+
+
+def _changes(spark: SparkSession) -> DataFrame:
+    """What differs between two states of a table and of one that reads it."""
+    def at(least: int, extra: tuple) -> dict:
+        d = derived("d", statement(SELECT(o.o_custkey, AS(count_rows(where=more_than(o.o_totalprice, least)), "n"), *extra), FROM(o), GROUP_BY(o.o_custkey)))
+        return {"d": d.query, "top": statement(SELECT(AS(max_of(d.n), "most")), FROM(d))}
+
+    def frame(queries: dict, when: int) -> DataFrame:
+        return _rows(spark, [(c, own, all_, when) for c, (own, all_) in logic(queries).items()], "column string, own string, effective string, recorded int")
+
+    return changes(frame(at(1, (AS(min_of(o.o_orderkey), "first"),)), 1), frame(at(2, (AS(max_of(o.o_orderkey), "last"),)), 2))
+
+
+_on("run_tables_in_order", "SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_totalprice >= 100000 GROUP BY 1", _run)
+_on("run_workflow_resumed", "SELECT * FROM (VALUES (0, 'read', false), (1, 'check', true), (2, 'write', true)) t(place, step, second_run)", lambda t, spark: _workflow(spark))
+_on("lineage_changes", "SELECT * FROM (VALUES ('d.n', 'OWN'), ('d.first', 'REMOVED'), ('d.last', 'ADDED'), ('top.most', 'INHERITED')) t(\"column\", change)", lambda t, spark: _changes(spark))
+_on("lineage_tables", "SELECT * FROM (VALUES ('lineitem', 'flagship'), ('orders', 'flagship'), ('customer', 'flagship'), ('nation', 'flagship')) t(source, target)", lambda t, spark: _rows(spark, table_edges({"flagship": flagship}), "source string, target string"))
+_on("sql_typed_columns", "SELECT * FROM (VALUES ('nation', 'string'), ('month', 'string'), ('revenue', 'double'), ('n_orders', 'bigint')) t(name, type)", lambda t, spark: _rows(spark, list(typed_selected_columns(spark, flagship).items()), "name string, type string"))
+_on("sql_statements_in_order", "SELECT * FROM (VALUES (0, 'create_as', 'x'), (1, 'insert', 'y'), (2, 'query', NULL)) t(place, kind, writes)",
+    lambda t, spark: _rows(spark, [(i, q.kind, q.writes) for i, q in enumerate(in_order(map(classify, split_statements("INSERT INTO y SELECT ';' AS c FROM x; CREATE TABLE x AS SELECT 1 AS c -- made; first\n; SELECT * FROM y"))))], "place int, kind string, writes string"))
+_sheet = SheetTable("runs", ["id", "v", "double", "who"], [[1, 5.0, 10.0, "A"], [2, None, 0.0, "B"], [3, 7.0, 15.0, "A"], [4, 1.0, 2.0, "B"]], {"double": "[@v]*factor", "who": "XLOOKUP([@id],people[id],people[name])"})
+_people = SheetTable("people", ["id", "name"], [[1, "A"], [2, "B"], [3, "A"], [4, "C"]])
+_on("verify_workbook", "SELECT * FROM (VALUES ('runs', 2, 'double', '15.0', '14.0'), ('runs', 3, 'who', 'B', 'C')) t(\"table\", \"row\", \"column\", workbook, computed)", lambda t, spark: check_workbook(spark, Book({"runs": _sheet, "people": _people}, {"factor": "2"})).toDF("table", "row", "column", "workbook", "computed"))
+
+# What is refused, and as what
+
+
+def _refused(spark: SparkSession) -> DataFrame:
+    days = Table("days", {"k": "bigint", "v": "double", "dt": "string"}, partitioned_by=["dt"], key=["k"], location="nowhere")
+    left = LEFT_JOIN(c, ON=equals(o.o_custkey, c.c_custkey))
+    totals = statement(SELECT(o.o_orderstatus, AS(count_rows(), "n")), FROM(o), GROUP_BY(rollup(o.o_orderstatus)))
+    tried = {
+        "additivity": lambda: sum_of(p.p_retailprice), "clause order": lambda: statement(FROM(o), SELECT(o.o_orderkey)), "duplicate names": lambda: statement(SELECT(o.o_orderkey, AS(o.o_custkey, "o_orderkey")), FROM(o)),
+        "full join then where": lambda: statement(SELECT(o.o_orderkey), FROM(o), FULL_JOIN(c, ON=equals(o.o_custkey, c.c_custkey)), WHERE(more_than(o.o_totalprice, 1))), "key proof": lambda: check_write(Table("x", {"o_custkey": "bigint"}, key=["o_custkey"]), statement(SELECT(o.o_custkey), FROM(o))),
+        "left join then where": lambda: statement(SELECT(o.o_orderkey), FROM(o), left, WHERE(more_than(c.c_acctbal, 1))), "missing group by": lambda: statement(SELECT(o.o_custkey, AS(count_rows(), "n")), FROM(o)), "order by": lambda: statement(SELECT(o.o_orderkey), FROM(o), ORDER_BY(o.o_orderkey)),
+        "partition bound": lambda: statement(SELECT(days.k), FROM(days)), "right join": lambda: RIGHT_JOIN(c, ON=equals(o.o_custkey, c.c_custkey)), "subtotals written": lambda: check_write(Table("x", {"o_orderstatus": "string", "n": "bigint"}), totals), "table read twice": lambda: statement(SELECT(n.n_name), FROM(n), JOIN(n, ON=equals(n.n_nationkey, n.n_regionkey))),
+        "types compared": lambda: equals(o.o_orderkey, "x"), "unnamed calculation": lambda: statement(SELECT(o.o_totalprice * 2), FROM(o)), "window order": lambda: rank(over=window(o.o_custkey)), "write line-up": lambda: check_write(days, statement(SELECT(AS(o.o_orderkey, "k")), FROM(o))),
+        "set operation columns": lambda: UNION_ALL(statement(SELECT(o.o_orderkey), FROM(o)), statement(SELECT(c.c_custkey, c.c_name), FROM(c))), "grouped statement": lambda: statement(SELECT(o.o_custkey, AS(count_rows(), "n")), FROM(o), GROUP_BY(o.o_custkey)),
+    }
+    found = []
+    for name, make in tried.items():
+        try:
+            make()
+            found.append((name, "accepted"))
+        except Refused as e:
+            found.append((name, type(e).__name__))
+    return _rows(spark, found, "what string, came string")
+
+
+_on("checks_refused", "SELECT * FROM (VALUES ('additivity', 'GuardRefused'), ('clause order', 'GuardRefused'), ('duplicate names', 'GuardRefused'), ('full join then where', 'GuardRefused'), ('key proof', 'GuardRefused'), ('left join then where', 'GuardRefused'), ('missing group by', 'GuardRefused'), ('order by', 'GuardRefused'), ('partition bound', 'LoadRefused'), ('right join', 'GuardRefused'), ('subtotals written', 'GuardRefused'), ('table read twice', 'GuardRefused'), ('types compared', 'GuardRefused'), ('unnamed calculation', 'GuardRefused'), ('window order', 'GuardRefused'), ('write line-up', 'GuardRefused'), ('set operation columns', 'GuardRefused'), ('grouped statement', 'accepted')) t(what, came)", lambda t, spark: _refused(spark))
+
 # Spreadsheet formulas, over orders, customer and events as tables of a workbook
 
 
