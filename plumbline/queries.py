@@ -34,6 +34,7 @@ from plumbline.plans.rendering import to_sql
 from plumbline.sources.shared import new_place
 from plumbline.sources.tables import Table, add_references, check_key, check_reference, describe_table, latest_partition, propose_key
 from plumbline.sources.xlsx import Book, SheetTable
+from plumbline.streaming import overwrite_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -445,6 +446,26 @@ def _refused(spark: SparkSession) -> DataFrame:
 
 _on("checks_refused", "SELECT * FROM (VALUES ('additivity', 'GuardRefused'), ('clause order', 'GuardRefused'), ('duplicate names', 'GuardRefused'), ('full join then where', 'GuardRefused'), ('key proof', 'GuardRefused'), ('left join then where', 'GuardRefused'), ('missing group by', 'GuardRefused'), ('order by', 'GuardRefused'), ('partition bound', 'LoadRefused'), ('right join', 'GuardRefused'), ('subtotals written', 'GuardRefused'), ('table read twice', 'GuardRefused'), ('types compared', 'GuardRefused'), ('unnamed calculation', 'GuardRefused'), ('window order', 'GuardRefused'), ('write line-up', 'GuardRefused'), ('set operation columns', 'GuardRefused'), ('grouped statement', 'accepted')) t(what, came)", lambda t, spark: _refused(spark))
 
+# Streams: micro-batches that replace the partitions they fill
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a stream that ends: halved and written by status, all in one batch, which is then sent again."""
+    place = Table("mart.streamed", {"k": "bigint", "v": "double", "st": "string"}, partitioned_by=["st"], key=["k"], location=new_place(spark, "streamed"))
+    halved = statement(SELECT(AS(o.o_orderkey, "k"), AS(o.o_totalprice / 2, "v"), AS(o.o_orderstatus, "st")), FROM(o))
+    write = overwrite_batches(place, halved, "orders")
+
+    def twice(batch: DataFrame, at: int) -> None:
+        write(batch, at)
+        write(batch, at)
+
+    given = spark.readStream.schema(o.schema()).parquet(f"{sf_dir}/orders.parquet*")
+    given.writeStream.foreachBatch(twice).option("checkpointLocation", new_place(spark, "streamed_at")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("k bigint, v double, st string").parquet(place.location)
+
+
+query("stream_overwrite", "SELECT o_orderkey AS k, o_totalprice / 2 AS v, o_orderstatus AS st FROM orders", _streamed)
+
 # Spreadsheet formulas, over orders, customer and events as tables of a workbook
 
 
