@@ -633,6 +633,8 @@ def lower(e: Expr, swap: dict[tuple, Column] | None = None) -> Column:
 def _low_aggregate(e: Expr, low: Callable[[Expr], Column]) -> Column:
     a = e.args
     if a[0] == "call":
+        if a[1] in ("min_by", "max_by"):
+            return _low_by(a[1], a[2], a[3], low)
         return F.call_function("var_pop" if a[1] == "variance" else a[1], *map(low, a[2:]))
     name, column, where = a
     value = None if column is None else low(column)
@@ -646,6 +648,18 @@ def _low_aggregate(e: Expr, low: Callable[[Expr], Column]) -> Column:
     return getattr(F, name)(value)
 
 
+def _low_by(name: str, of: Expr, by: Expr, low: Callable[[Expr], Column]) -> Column:
+    """Of rows that tie, min_by and max_by take the least value that is not NULL: known numbers by size, all else by its
+    text. Spark alone takes the row that it happens to meet last."""
+    x, y = low(of), low(by)
+    tie = [x if of.kind == NUMBER else x.cast("string")]
+    if name == "max_by":  # the order of the values is turned round; of integers the least has no opposite
+        down = F.try_subtract(F.lit(0), x) if of.kind == NUMBER else F.concat(F.translate(F.hex(tie[0]), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+        tie = [down.isNull(), down]
+    missing = x.isNull() if name == "min_by" else x.isNotNull()
+    return F.call_function(name, x, F.when(y.isNotNull(), F.struct(y, missing, *tie)))
+
+
 def _low_window(e: Expr, low: Callable[[Expr], Column]) -> Column:
     inner, spec = e.args
     w = Window.partitionBy(*map(low, spec.partition))

@@ -153,3 +153,17 @@ def test_tables(spark, example):
     assert check_reference(alerts, df) and not check_reference(alerts, df.drop("dt").selectExpr("*", "1 AS new"))
     assert propose_key(df) == ("alert_id",)
     assert literal(True).kind == "boolean" and count_distinct(runs.job_id).why_not_additive and is_null(jobs.team).keeps == {"jobs"}
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_rows_that_tie_give_the_least_value(spark, partitions):
+    ties = Table("ties", {"k": "int", "n": "bigint", "t": "string", "x": "double", "m": "map<string,int>", "y": "double"}, key=["n"])
+    least = -(2**63)
+    made = [(1, None, None, None, None, 5.0), (1, 9, "ab", 9.5, {"a": 1}, 5.0), (1, 10, "a", 10.5, {"b": 1}, 5.0), (1, 11, "b", 11.5, {"c": 1}, 5.0), (1, 1, "0", 1.5, None, None),
+            (2, least, "é", 0.0, None, 0.0), (2, 3, "z", -2.0, None, -0.0), (3, 4, "u", 4.0, None, None)]
+    for given in (made, made[::-1]):
+        df = spark.createDataFrame(given, ties.schema()).repartition(partitions)
+        for f in ("min_by", "max_by"):
+            s = q(SELECT(ties.k, *[AS(sql_function(f, ties[c], ties.y), c) for c in ("n", "t", "x")], AS(sql_function(f, ties.m, ties.y), "m")), FROM(ties), GROUP_BY(ties.k))
+            got = {r[0]: tuple(r[1:4]) for r in s.lower({"ties": df}.get).collect()}
+            assert got == {1: (9, "a", 9.5), 2: (least, "z", -2.0), 3: (None, None, None)}
