@@ -7,9 +7,9 @@ one row, never a window over everything. The formulas that are added together sh
 
 What cannot be known from a table without an order (OFFSET, RAND, SORT and so on), and forms whose meaning would only be
 guessed (DATEDIF in "ym", WEEKDAY from another day, SUBSTITUTE of one occurrence, TEXT of numbers), are NULL, with a note.
-An error of a row (a division or MOD by zero, a root of a negative number, a text that is no number) is NULL. Branches of
-text and of numbers are text, with a note. Texts are equal case by case, but a criterion with * or ? ignores case, as
-spreadsheets do.
+An error of a row (a division or MOD by zero, a root of a negative number, a text that is no number) is NULL; a book that
+is `infinite` divides by zero as SQL's doubles do, except within IFERROR. Branches of text and of numbers are text, with
+a note. Texts are equal case by case, but a criterion with * or ? ignores case, as spreadsheets do.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ class Workbook:
     blanks: dict[str, dict[str, object]] = field(default_factory=dict)  # what a blank reads as, by table and column
     text_dates: dict[str, set[str]] = field(default_factory=dict)  # columns of dates as texts of 8 digits
     notes: list[str] = field(default_factory=list)
+    infinite: bool = False  # whether a division by zero gives an infinity or NaN, or is an error of the row
 
     def read_cells(self, table: str) -> None:
         """Finds, in one pass, the columns with blanks, which formulas read as 0 or as an empty text, and the columns of
@@ -102,6 +103,7 @@ class _Writer:
         self.trees = trees
         self.shared: dict[tuple, str] = {}
         self.as_is = 0  # within a form that skips blanks
+        self.caught = 0  # within a form that replaces errors
 
     def add(self, name: str, tree: tuple) -> DataFrame:
         self.merge_totals()
@@ -242,6 +244,9 @@ class _Writer:
             case "*":
                 return x * y
             case "/":
+                if self.book.infinite and not self.caught:
+                    x, y = x.cast("double"), y.cast("double")
+                    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y))  # the power keeps the sign of a zero
                 return F.try_divide(x, y)
             case "^":
                 return F.pow(x, y)
@@ -276,7 +281,11 @@ class _Writer:
             finally:
                 self.as_is -= 1
         if n in ("IFERROR", "IFNA"):
-            return F.coalesce(*self.alike(n, args))
+            self.caught += 1
+            try:
+                return F.coalesce(*self.alike(n, args))
+            finally:
+                self.caught -= 1
         if n in ("IF", "IFS", "SWITCH"):
             return self.choice(n, args)
         if n in ("MAX", "MIN"):

@@ -527,7 +527,7 @@ for _f, _text, _sql in (
 ):
     _on(f"xl_{_f}", f"SELECT o_orderkey, {_sql} AS v FROM orders", lambda t, _, x=_text: _cells_book(t).add("orders", v=x).select("o_orderkey", "v"))
 _on("xl_shared_joins", "SELECT o_orderkey, c_name AS a, c_acctbal AS b, sum(o_custkey) OVER () AS d, o_totalprice / c_acctbal AS e FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
-    lambda t, _: _book(t).add("orders", a="=XLOOKUP([@[o_custkey]],customer[c_custkey],customer[c_name])", b="=INDEX(customer[c_acctbal],MATCH([@[o_custkey]],customer[c_custkey],0))", d="=SUM([o_custkey])", e="=[@[o_totalprice]]/[@b]").select("o_orderkey", "a", "b", "d", "e"))
+    lambda t, _: _book(t, infinite=True).add("orders", a="=XLOOKUP([@[o_custkey]],customer[c_custkey],customer[c_name])", b="=INDEX(customer[c_acctbal],MATCH([@[o_custkey]],customer[c_custkey],0))", d="=SUM([o_custkey])", e="=[@[o_totalprice]]/[@b]").select("o_orderkey", "a", "b", "d", "e"))
 formula("sumifs_other", "customer", '=SUMIFS(orders[o_orderkey],orders[o_custkey],[@[c_custkey]])+COUNTIFS(orders[o_custkey],[@[c_custkey]],orders[o_orderstatus],"F")', "coalesce(s, 0) + coalesce(f, 0)", "LEFT JOIN (SELECT o_custkey, sum(o_orderkey) AS s, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 formula("countifs_compared", "customer", '=COUNTIFS(nation[n_nationkey],"<"&[@[c_nationkey]],nation[n_regionkey],0)', "(SELECT count(*) FROM nation WHERE n_nationkey < c_nationkey AND n_regionkey = 0)")
 _on("xl_total_row", "SELECT sum(o_custkey) AS a, count(o_orderstatus) AS b, max(o_totalprice) AS c, min(o_totalprice) AS d FROM orders", lambda t, _: _book(t).total_row("orders", a=("o_custkey", 109), b=("o_orderstatus", 103), c=("o_totalprice", 104), d=("o_totalprice", 105)))

@@ -406,3 +406,29 @@ def test_statements_render_as_the_sql_they_are(spark, tmp_path):
         assert sorted(map(repr, convert_query(spark, to_sql(found[n]), tables, many_matches=True, sorts_everything=True).lower(catalog).collect())) == rows, n
     export_sql(spark, by_day, f"file://{tmp_path}/sql")
     assert "GROUP BY" in "\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/sql").collect())
+
+
+def test_division_by_zero_is_as_the_sql_says_or_an_error(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for name in ("customer", "orders", "events", "nation"):
+        con.execute(f"CREATE VIEW raw_{name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    zeros = "CASE c_custkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN '-0.0'::DOUBLE ELSE c_acctbal END"
+    totals = "CASE o_orderkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN -o_totalprice ELSE o_totalprice END"
+    made = {"customer": f"SELECT * REPLACE ({zeros} AS c_acctbal) FROM raw_customer", "orders": f"SELECT * REPLACE ({totals} AS o_totalprice) FROM raw_orders"}
+    for name in ("customer", "orders", "events", "nation"):
+        con.execute(f"COPY ({made.get(name, f'SELECT * FROM raw_{name}')}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(f"SELECT o_orderkey, a, b, d, e FROM ({entry.oracle_sql()['xl_shared_joins']}) ORDER BY 1").fetchall()
+    got = sorted(map(tuple, entry.queries()["xl_shared_joins"](spark, str(tmp_path)).select("o_orderkey", "a", "b", "d", "e").collect()), key=lambda r: r[0])
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert {repr(r[4]) for r in want} >= {"inf", "-inf", "nan"}
+
+    df = spark.createDataFrame([(1, 2.0, 0.0), (2, None, 0.0), (3, 6.0, 3.0), (4, 6.0, None)], "id long, x double, y double")
+    formulas = {"q": "=[@x]/[@y]", "r": "=IFERROR([@x]/[@y],-1)", "s": "=IFERROR([@x]/[@y],-1)+[@x]/[@y]"}
+    rows = [tuple(r)[3:] for r in Workbook({"t": df}, {"t": ["id"]}).add("t", **formulas).orderBy("id").collect()]
+    assert rows == [(None, -1.0, None), (None, -1.0, None), (2.0, 2.0, 4.0), (None, -1.0, None)]
+    rows = [tuple(r)[3:] for r in Workbook({"t": df}, {"t": ["id"]}, infinite=True).add("t", **formulas).orderBy("id").collect()]
+    assert rows == [(float("inf"), -1.0, float("inf")), (None, -1.0, None), (2.0, 2.0, 4.0), (None, -1.0, None)]
